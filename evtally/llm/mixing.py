@@ -62,8 +62,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
     Each row is copied floor(f) times, f its source's target over its size, and once more as
     pivotal rounding decides: rows of a source and of like size are rounded in blocks of about
-    BLOCK, what stays open meets in ever wider blocks, and a source's last open row is drawn. A
-    source's taken words so differ from its target by less than that one row's words. Rows
+    BLOCK, what stays open meets in ever wider blocks, a source's last open row goes to the nearer end. A
+    source's taken words so differ from its target by at most half of that one row's words. Rows
     with null source are a source of their own, null and empty texts have size 0 and nothing
     taken; repeated rows are rounded each; further columns are ignored. With no words at all,
     targets are 0.
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
         live = out.filter("open").drop("open")
         step += 1
         shift += 3 * (largest <= BLOCK)
-    drawn = F.shiftrightunsigned(F.xxhash64("h", F.lit(SEED), F.lit(-1)), 12) / float(1 << 52) * F.col("size") < F.col("mass")
+    drawn = F.col("mass") * 2 > F.col("size")
     done.append(live.withColumn("mass", F.when(drawn, F.col("size").cast("double")).otherwise(0.0)))
     cols = ["doc_id", "size", "source_size", "target", "whole", "mass"]
     every = done[0].select(cols)

@@ -21,6 +21,7 @@ _rng = np.random.default_rng(20240601)
 _SEEDS = _rng.integers(0, 2**63, REGISTERS, np.uint64)
 _ODDS = _rng.integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -39,9 +40,9 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), _R)]))
-        total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-        word = mix((total[end] - total[start]) * power[len(data) - start] + (end - start).astype(np.uint64))  # the same power wherever it stands
+        up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), r)])) for r in (_R, _BACK))
+        total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:-1])])
+        word = mix((total[end] - total[start]) * up[end] + (end - start).astype(np.uint64))  # byte i times _R ** (end - i)
         ends = np.cumsum([len(x) + 1 for x in raw])
         at = np.concatenate([[0], np.searchsorted(start, ends)])
         n = max(0, len(word) - width + 1)
