@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from .common import table
-from . import decontaminate, fingerprints, licenses, mixing, near_dedup, quality, token_counts, url_filter
+from . import decontaminate, fingerprints, licenses, lm_scoring, mixing, near_dedup, quality, suffix_dedup, token_counts, url_filter
 
 
 def tokenizer_file() -> str:
@@ -33,6 +33,10 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -49,7 +53,14 @@ def op9_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_quality, op4_license_scan, op6_near_dedup, op7_token_counts, op8_fingerprints, op9_mix)}
+def op10_lm_scores(spark, sf_dir):
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_url_filter, op3_quality, op4_license_scan, op5_suffix_dedup, op6_near_dedup, op7_token_counts, op8_fingerprints, op9_mix, op10_lm_scores)
+}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
