@@ -51,7 +51,7 @@ def candidates(docs: DataFrame, wins: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs.
+    """doc_id, key (the text's content key), n_words, n_hit, n_items, items_sha256, contaminated of every row.
 
     A document word in any exact occurrence of an item's window of size words is hit. Null texts
     have no words, items without words or id none to find; an item of fewer words is one window.
@@ -74,7 +74,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     held = held.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     out = checked.join(held, "key", "left")
-    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "key", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:

@@ -196,7 +196,7 @@ def contested(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable) and kept of every row.
+    """doc_id, key (the text's content key), n_shingles, component_id (the smallest id reachable) and kept of every row.
 
     Rows of equal shingle sets are one node. Each node is first linked with the least node of each
     band it shares; then pairs of a band that still lie in different components are compared, so
@@ -216,6 +216,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         roots = durable(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     labels = roots.join(least, "root").select(F.col("node").alias("at"), "least").unionByName(nodes.join(roots, "node", "left_anti").select(F.col("node").alias("at"), F.col("doc_id").alias("least")))
-    out = rows.select("doc_id", "node", "n").join(labels, F.col("node") == F.col("at"), "left")
+    out = rows.select("doc_id", "key", "node", "n").join(labels, F.col("node") == F.col("at"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

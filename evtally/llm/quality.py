@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
     return Gam(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float)) if len(got) else Gam(np.zeros((1, len(FEATURES))), np.array([0.5]))
 
 
-def classify(docs: DataFrame, model: Gam, cut: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row's whole text.
+def classify(docs: DataFrame, model: Gam, cut: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns of keep of every row; texts are scored whole.
 
     Null texts count as empty, whose features are zeros. Repeated rows and null ids stay (a null
     id counts as held out); further columns are ignored. Rows need no shuffle.
@@ -133,9 +133,11 @@ def classify(docs: DataFrame, model: Gam, cut: float = 0.3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.value.score(x))], ["doc_id", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
-    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+            x = np.array([features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
+            own = [b.column(c) for c in ("doc_id", *keep)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(model.value.score(x))], ["doc_id", *keep, "score"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    text = [] if "text" in keep else [F.coalesce("text", F.lit("")).alias("text")]
+    out = docs.select("doc_id", *keep, *text).mapInArrow(run, f"{kinds}, score double")
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *keep)

@@ -17,7 +17,7 @@ def tokenizer_file() -> str:
 
 
 def op1_decontaminate(spark, sf_dir):
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op2_url_filter(spark, sf_dir):
@@ -38,7 +38,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("key")
 
 
 def op7_token_counts(spark, sf_dir):

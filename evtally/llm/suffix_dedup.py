@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by a long string that also starts elsewhere are removed.
 
-Every window of LENGTH bytes is keyed by the least hash of the GRAM-byte strings in it, which equal
+Every window of length bytes is keyed by the least hash of the shorter strings in it, which equal
 windows share. Consecutive windows of one key form a segment. A key met once holds no repeat; equal
 segments repeat whole; the distinct segments of a key are compared by a suffix array from two-stage
 sorting and by the common prefixes of its neighbours.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import bounded, durable
 
 LENGTH, GRAM = 400, 64
-#: Most windows of a segment; bytes sorted at once; segments of a key beyond which windows are
+#: Bytes that make a repeat, and of the strings that key its windows. Most windows of a segment; bytes sorted at once; segments of a key beyond which windows are
 #: counted by their own hash instead; rows that a join may broadcast once counted.
 RUN, CHUNK, CROWD, SMALL = 4096, 1_000_000, 1500, 100_000
 _R = 0x9E3779B97F4A7C15
@@ -32,9 +32,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, bool]]:
+def gram_of(length: int) -> int:
+    """Bytes of the strings whose least hash keys a window."""
+    return max(4, length * GRAM // 400)
+
+
+def segments(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, bool]]:
     """(key, first window, windows, whether the key's string stands in it twice) of a text, in order."""
-    n, w = len(data), length - gram + 1
+    n, gram = len(data), gram_of(length)
+    w = length - gram + 1
     if n < length:
         return []
     up, down = powers(n + 1)
@@ -140,7 +146,7 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, length: int) -> DataFrame:
     """(m, h1, h2, rid, sn): every segment's key and content hash, its text, and first window, windows, twice in one long."""
 
     def run(batches):
@@ -148,15 +154,15 @@ def _places(docs: DataFrame) -> DataFrame:
             cols: list[list[int]] = [[], [], [], [], []]
             for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = text.encode()
-                for m, s, n, twice in segments(data):
-                    for c, v in zip(cols, (m, *mark(data[s : s + n + LENGTH - 1]), rid, s << 14 | n << 1 | twice), strict=True):
+                for m, s, n, twice in segments(data, length):
+                    for c, v in zip(cols, (m, *mark(data[s : s + n + length - 1]), rid, s << 14 | n << 1 | twice), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["m", "h1", "h2", "rid", "sn"])
 
     return docs.mapInArrow(run, "m long, h1 long, h2 long, rid long, sn long")
 
 
-def _bytes(docs: DataFrame, need: DataFrame) -> DataFrame:
+def _bytes(docs: DataFrame, need: DataFrame, length: int) -> DataFrame:
     """(m, h1, h2, n, c, part): the bytes of the needed segments, each from one text that holds it."""
     ids = docs.select("rid", "doc_id")
     whole, small = bounded(durable(need.groupBy("rid").agg(F.collect_list(F.struct("m", "h1", "h2", "c")).alias("list"))), SMALL)
@@ -169,8 +175,8 @@ def _bytes(docs: DataFrame, need: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(6)]
             for text, wanted in zip(b.column("text").to_pylist(), b.column("list").to_pylist(), strict=True):
                 data, left = text.encode(), {(x["m"], x["h1"], x["h2"]): x["c"] for x in wanted}
-                for m, s, n, _ in segments(data):
-                    part = data[s : s + n + LENGTH - 1]
+                for m, s, n, _ in segments(data, length):
+                    part = data[s : s + n + length - 1]
                     if (k := (m, *mark(part))) in left:
                         for c, v in zip(out, (*k, n, left.pop(k), part), strict=True):
                             c.append(v)
@@ -184,12 +190,12 @@ def _bytes(docs: DataFrame, need: DataFrame) -> DataFrame:
 _SPANS = "m long, h1 long, h2 long, spans array<struct<lo:int,hi:int>>"
 
 
-def _sorted_spans(parts: DataFrame) -> DataFrame:
+def _sorted_spans(parts: DataFrame, length: int) -> DataFrame:
     """Repeated windows of each segment, from the suffix arrays of whole keys, about CHUNK bytes at a time."""
 
     def solve(rows):
         distinct = list({(m, h1, h2): (n, part) for m, h1, h2, n, part in rows}.items())
-        found = repeats([p for _, (_, p) in distinct], [n for _, (n, _) in distinct])
+        found = repeats([p for _, (_, p) in distinct], [n for _, (n, _) in distinct], length)
         spans = [(k, runs(f)) for (k, _), f in zip(distinct, found, strict=True) if f.any()]
         return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in spans], pa.int64()) for i in range(3)), pa.array([[{"lo": a, "hi": b} for a, b in s] for _, s in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["m", "h1", "h2", "spans"])
 
@@ -209,13 +215,13 @@ def _sorted_spans(parts: DataFrame) -> DataFrame:
     return parts.select("m", "h1", "h2", "n", "part").repartition("m").sortWithinPartitions("m").mapInArrow(run, _SPANS)
 
 
-def _counted_spans(parts: DataFrame) -> DataFrame:
+def _counted_spans(parts: DataFrame, length: int) -> DataFrame:
     """The same for keys of very many distinct segments, which no single task should hold: windows are counted by hash."""
 
     def run(batches):
         for b in batches:
             for m, h1, h2, n, part in zip(*(b.column(c).to_pylist() for c in ("m", "h1", "h2", "n", "part")), strict=True):
-                w = [mark(part[i : i + LENGTH]) for i in range(n)]
+                w = [mark(part[i : i + length]) for i in range(n)]
                 cols = [[m] * n, [h1] * n, [h2] * n, list(range(n)), [x for x, _ in w], [y for _, y in w]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["m", "h1", "h2", "i", "w1", "w2"])
 
@@ -230,24 +236,24 @@ def identified(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("rid"), F.octet_length(text).alias("size"), *more)
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, size, spans): removed byte ranges [lo, hi), unmerged, of the texts that have any."""
     rows = identified(docs)
-    place = durable(_places(rows.filter(F.col("size") >= LENGTH).select("rid", "text")))
+    place = durable(_places(rows.filter(F.col("size") >= length).select("rid", "text"), length))
     keys = place.groupBy("m").agg(F.count("*").alias("k"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(F.col("sn").bitwiseAND(F.lit(1))).alias("twice"))
     keys = keys.filter("k > 1 or twice = 1").select("m", (F.expr("lo <> hi or twice = 1")).alias("mixed"))
     place = durable(place.join(keys, "m"))
     kinds = durable(place.groupBy("m", "h1", "h2").agg(F.count("*").alias("c"), F.min("rid").alias("rid"), F.max("mixed").alias("mixed")))
     mixed = kinds.filter("mixed")
     crowds = durable(mixed.groupBy("m").count().filter(F.col("count") > CROWD).select("m"))
-    parts = durable(_bytes(rows, mixed))
-    found = _sorted_spans(parts.join(crowds, "m", "left_anti")).unionByName(_counted_spans(parts.join(crowds, "m", "left_semi")))
+    parts = durable(_bytes(rows, mixed, length))
+    found = _sorted_spans(parts.join(crowds, "m", "left_anti"), length).unionByName(_counted_spans(parts.join(crowds, "m", "left_semi"), length))
     found = durable(found).withColumnsRenamed({"m": "fm", "h1": "f1", "h2": "f2"})
     hit = place.join(kinds.select("m", "h1", "h2", "c"), ["m", "h1", "h2"])
     hit = hit.join(found, (F.col("m") == F.col("fm")) & (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
     whole = F.expr("array(named_struct('lo', 0, 'hi', cast(shiftright(sn, 1) & 8191 as int)))")
     hit = hit.withColumn("spans", F.when(F.col("c") > 1, whole).otherwise(F.col("spans"))).filter("spans is not null")
-    hit = hit.select("rid", F.expr(f"transform(spans, x -> named_struct('lo', cast(shiftright(sn, 14) as int) + x.lo, 'hi', cast(shiftright(sn, 14) as int) + x.hi + {LENGTH - 1}))").alias("spans"))
+    hit = hit.select("rid", F.expr(f"transform(spans, x -> named_struct('lo', cast(shiftright(sn, 14) as int) + x.lo, 'hi', cast(shiftright(sn, 14) as int) + x.hi + {length - 1}))").alias("spans"))
     return hit.distinct().groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -260,15 +266,15 @@ def removed(size: int, ranges) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text) and the columns of keep, of every row.
 
-    A byte is removed if it lies in a LENGTH-byte string that also starts at another place of any
+    A byte is removed if it lies in a string of length bytes that also starts at another place of any
     row's text; repeats are judged on the whole input and do not cross rows. Null texts are empty,
     shorter texts lose nothing, repeated rows are repeats of each other; null ids and ties stay.
     kept leaves out a character of which only a part remains; the sum is over the remaining bytes.
     """
-    ranges = spans(docs).withColumnRenamed("rid", "r")
+    ranges = spans(docs, length).withColumnRenamed("rid", "r")
     rows = identified(docs, *keep)
     rows = rows.join(ranges, rows["rid"] == ranges["r"], "left")
 
