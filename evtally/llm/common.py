@@ -60,3 +60,18 @@ def bounded(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """The frame, marked for broadcast only if a count proves that it has at most so many rows."""
     small = df.limit(rows + 1).count() <= rows
     return (F.broadcast(df) if small else df), small
+
+
+def by_bytes(batch, columns: tuple[str, ...] = ("text",), most: int = 1_000_000):
+    """Slices of an Arrow batch whose texts have at most so many bytes, or a single row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, content_key, durable
+from .common import bounded, by_bytes, content_key, durable
 from .components import components
 
 #: Registers of a sketch in bands; base and rate of the exponentially spaced truncated minima.
@@ -99,8 +99,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                c = b.slice(lo, 2000)
+            for c in by_bytes(b):
                 sets = shingle_sets(c.column("text").to_pylist(), width)
                 full = [s for s in sets if len(s)]
                 regs = iter(registers(full))
@@ -147,15 +146,16 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
 
     def run(batches):
         seen = [None, None]
-        for b in batches:
-            keep = []
-            sets = shingle_sets(b.column("ta").to_pylist(), width)
-            for s, node, text in zip(sets, b.column("b").to_pylist(), b.column("tb").to_pylist(), strict=True):
-                if seen[0] != node:
-                    seen = [node, shingle_sets([text], width)[0]]
-                both = len(np.intersect1d(s, seen[1], assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(seen[1]) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for b in by_bytes(whole, ("ta",)):
+                keep = []
+                sets = shingle_sets(b.column("ta").to_pylist(), width)
+                for i, (s, node) in enumerate(zip(sets, b.column("b").to_pylist(), strict=True)):
+                    if seen[0] != node:
+                        seen = [node, shingle_sets([b.column("tb")[i].as_py()], width)[0]]
+                    both = len(np.intersect1d(s, seen[1], assume_unique=True))
+                    keep.append(100 * both >= percent * (len(s) + len(seen[1]) - both))
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").sortWithinPartitions("b")
