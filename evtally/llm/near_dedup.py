@@ -13,10 +13,10 @@ from .components import components
 #: Registers of a sketch in bands; base and rate of the exponentially spaced truncated minima.
 ROWS, BANDS, BASE, RATE, TOP = 5, 40, 1.001, 20.0, 65_535
 REGISTERS = ROWS * BANDS
-#: Pairs estimated below this are not verified: seven standard errors under 0.8.
-HOPE = 0.6
+#: Pairs estimated below this are not verified: five standard errors under 0.8.
+HOPE = 0.65
 #: Members of a bucket that are compared at once, rows that a join may broadcast once counted.
-BLOCK, SMALL = 512, 100_000
+BLOCK, SMALL = 1024, 100_000
 _rng = np.random.default_rng(20240601)
 _SEEDS = _rng.integers(0, 2**63, REGISTERS, np.uint64)
 _ODDS = _rng.integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,9 +114,10 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n, pivot): bands of equal registers that two nodes or more share, with the least node."""
+    """(band, bucket, node, pivot): bands of equal registers that two nodes or more share, with the least node."""
     width = 2 * ROWS
-    at = nodes.select("node", "n", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(regs, b * {width} + 1, {width})))")).alias("bucket"))
+    cut = f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(regs, b * {width} + 1, {width})))"
+    at = nodes.select("node", F.posexplode(F.expr(cut)).alias("band", "bucket"))
     pivots = at.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last")
     return at.join(pivots.drop("last"), "bucket")
 
@@ -136,13 +137,17 @@ def hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def texts(nodes: DataFrame, need: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the needed nodes, each from one row that holds its set."""
+    need, _ = bounded(durable(nodes.select("node", F.col("doc_id").alias("doc"), "key").join(need.distinct(), "node")), SMALL)
+    rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), "text")
+    return rows.join(need, (rows["key"] == need["key"]) & rows["doc_id"].eqNullSafe(need["doc"])).select("node", "text").dropDuplicates(["node"])
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     pairs = durable(pairs)
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need, small = bounded(durable(nodes.select("node", F.col("doc_id").alias("doc"), "key").join(need, "node")), SMALL)
-    rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), "text")
-    texts = durable(rows.join(need, (rows["key"] == need["key"]) & rows["doc_id"].eqNullSafe(need["doc"])).select("node", "text").dropDuplicates(["node"]))
+    found = durable(texts(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), docs))
 
     def run(batches):
         seen = [None, None]
@@ -153,54 +158,100 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
                 for i, (s, node) in enumerate(zip(sets, b.column("b").to_pylist(), strict=True)):
                     if seen[0] != node:
                         seen = [node, shingle_sets([b.column("tb")[i].as_py()], width)[0]]
-                    both = len(np.intersect1d(s, seen[1], assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(seen[1]) - both))
+                    keep.append(alike(s, seen[1], percent))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").sortWithinPartitions("b")
+    met = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    met = met.join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").sortWithinPartitions("b")
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def contested(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components that the sketches do not rule out.
-
-    Buckets are cut into blocks of about BLOCK members; a task compares the registers of two
-    blocks at a time and gives only pairs that have hope, so no bucket is expanded into pairs.
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _hopes(key, t):
+    """For each member of block i, the members of block j that may be linked with it from another
+    component: of a fitting size, not already met in an earlier band, and not ruled out by registers."""
+    band, blk, node, root, n = (t.column(c).to_numpy() for c in ("band", "blk", "node", "root", "n"))
+    regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    left = np.flatnonzero(blk == key[1].as_py())
+    right = left if key[1] == key[2] else np.flatnonzero(blk == key[2].as_py())
+    for k in left:
+        o = right[(root[right] != root[k]) & (10 * n[right] >= 8 * n[k]) & (10 * n[k] >= 8 * n[right])]
+        o = o[node[o] > node[k]] if key[1] == key[2] else o
+        same = regs[o] == regs[k]
+        o = o[(same.sum(1) >= REGISTERS * (HOPE - 0.1)) & ~same[:, : ROWS * band[k]].reshape(len(o), band[k], ROWS).all(2).any(1)]
+        if len(o):
+            est = likelihood((regs[k] > regs[o]).sum(1), (regs[k] < regs[o]).sum(1), np.full(len(o), float(n[k])), n[o].astype(float))
+            if len(o := o[est >= HOPE]):
+                yield k, o
+
+
+def contested(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) that join different components of a bucket.
+
+    Buckets are cut into blocks of about BLOCK members, and a task compares two blocks at a time:
+    first registers, to find the members with any hope; then, with the sets of those alone, it
+    verifies hopes that its links have not yet joined. No pair leaves a task but the links that
+    join, at most one a member.
     """
     split = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("m"))
     rows = members.join(split, "bucket").withColumn("blk", F.pmod(F.xxhash64("node"), "m").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-    rows = rows.withColumn("o", other).select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "root")
-    rows = rows.join(nodes.select("node", "n", "regs"), "node")
-
-    def run(key, t):
-        blk, node, root, n = (t.column(c).to_numpy() for c in ("blk", "node", "root", "n"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left = np.flatnonzero(blk == key[1].as_py())
-        right = left if key[1] == key[2] else np.flatnonzero(blk == key[2].as_py())
-        a, b = [], []
-        for k in left:
-            o = right[(root[right] != root[k]) & (10 * n[right] >= 8 * n[k]) & (10 * n[k] >= 8 * n[right])]
-            o = o[node[o] > node[k]] if key[1] == key[2] else o
-            if len(o):
-                o = o[(regs[o] == regs[k]).sum(1) >= REGISTERS * (HOPE - 0.1)]
-            if len(o):
-                est = likelihood((regs[k] > regs[o]).sum(1), (regs[k] < regs[o]).sum(1), np.full(len(o), float(n[k])), n[o].astype(float))
-                o = o[est >= HOPE]
-                a += [min(int(node[k]), int(x)) for x in node[o]]
-                b += [max(int(node[k]), int(x)) for x in node[o]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "band", "blk", "node", "root")
+    regs = nodes.select("node", "n", "regs")
+
+    def hope(key, t):
+        found: set[int] = set()
+        for k, o in _hopes(key, t):
+            found.update([int(k), *map(int, o)])
+        return t.take(pa.array(sorted(found), pa.int64())).drop_columns(["n", "regs"])
+
+    def verify(key, t):
+        node, root, own, links = t.column("node").to_numpy(), t.column("root").to_numpy(), t.column("set").to_pylist(), []
+        up: dict[int, int] = {}
+
+        def top(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        for k, o in _hopes(key, t):
+            s = np.frombuffer(own[k], np.uint64)
+            for x in o:
+                a, b = top(int(root[k])), top(int(root[x]))
+                if a != b and alike(s, np.frombuffer(own[x], np.uint64), percent):
+                    up[a] = b
+                    links.append((int(node[k]), int(node[x])))
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    def sets(batches):
+        for whole in batches:
+            for b in by_bytes(whole):
+                found = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], ["node", "set"])
+
+    few = durable(rows.join(regs, "node").groupBy("bucket", "i", "j").applyInArrow(hope, "node long, bucket long, i int, j int, band int, blk int, root long"))
+    whole = durable(texts(nodes, few.select("node"), docs).mapInArrow(sets, "node long, set binary"))
+    return few.join(regs, "node").join(whole, "node").groupBy("bucket", "i", "j").applyInArrow(verify, "u long, v long")
+
+
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after more links."""
+    if not more.limit(1).count():
+        return roots
+    return durable(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, key (the text's content key), n_shingles, component_id (the smallest id reachable) and kept of every row.
 
-    Rows of equal shingle sets are one node. Each node is first linked with the least node of each
-    band it shares; then pairs of a band that still lie in different components are compared, so
-    that components are those of all links (a link of 0.8 shares no band with probability 1e-7).
+    Rows of equal shingle sets are one node. Each node is first compared with the least node of
+    each band it shares, then with a node that each band draws; then pairs of a band that still lie
+    in different components are, so that components are those of all links (a link of 0.8 shares
+    no band with probability 1e-7, and is estimated under HOPE with about as little).
     Empty and null texts are linked with nothing; repeated rows share a component; a null id is
     never the smallest and is kept where its component has no other id; further columns are ignored.
     """
@@ -210,10 +261,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = band.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     edges = durable(linked(hopeful(stars, nodes), nodes, docs, width, percent).toDF("u", "v"))
     roots = durable(components(edges))
-    members = band.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    more = durable(linked(contested(members, nodes), nodes, docs, width, percent).toDF("u", "v"))
-    if more.limit(1).count():
-        roots = durable(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
+    members = durable(band.join(roots, "node", "left").select("band", "bucket", "node", F.coalesce("root", "node").alias("root")))
+    # what is still apart meets a centre that each bucket draws for itself
+    apart = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "root"), F.xxhash64("bucket", "node")).alias("c")).filter("lo <> hi")
+    stars = members.join(apart, "bucket").filter(F.col("root") != F.col("c.root")).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    more = durable(linked(hopeful(stars, nodes), nodes, docs, width, percent).toDF("u", "v"))
+    roots = joined(roots, more)
+    members = durable(band.join(roots, "node", "left").select("band", "bucket", "node", F.coalesce("root", "node").alias("root")))
+    roots = joined(roots, durable(contested(members, nodes, docs, width, percent)))
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     labels = roots.join(least, "root").select(F.col("node").alias("at"), "least").unionByName(nodes.join(roots, "node", "left_anti").select(F.col("node").alias("at"), F.col("doc_id").alias("least")))
     out = rows.select("doc_id", "key", "node", "n").join(labels, F.col("node") == F.col("at"), "left")
