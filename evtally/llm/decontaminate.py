@@ -34,17 +34,17 @@ def rarest(docs: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
     words = docs.select(F.explode(tokens(F.col("text"), NOT_WORD)).alias("term"))
     counts = durable(words.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
     known = spread.join(counts, "term", "left").groupBy("w").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("a"))
-    return known.filter(F.col("a")[0]["n"] > 0).select("w", F.slice("a", 1, lists).alias("at"))
+    return known.filter(F.get("a", F.lit(0))["n"] > 0).select("w", F.slice("a", 1, lists).alias("at"))
 
 
 def candidates(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """(key, w, start): places where the rarest words of a window stand at their offsets."""
     rare = durable(rarest(docs, wins, LISTS))
     index = durable(postings(docs, rare.select(F.explode("at.term").alias("term")).distinct()))
-    first = bounded(rare.select("w", "at", F.col("at")[0]["term"].alias("term"), F.col("at")[0]["o"].alias("o")), SMALL)[0]
+    first = bounded(rare.select("w", "at", F.get("at", F.lit(0))["term"].alias("term"), F.get("at", F.lit(0))["o"].alias("o")), SMALL)[0]
     found = index.join(first, "term").select("key", "w", "at", (F.col("pos") - F.col("o")).alias("start")).filter("start >= 0")
     for i in range(1, LISTS):  # shorter windows have fewer lists: they pass on
-        more = found.filter(F.size("at") > i).withColumns({"term": F.col("at")[i]["term"], "pos": F.col("start") + F.col("at")[i]["o"]})
+        more = found.filter(F.size("at") > i).withColumns({"term": F.get("at", F.lit(i))["term"], "pos": F.col("start") + F.get("at", F.lit(i))["o"]})
         kept = more.join(index, ["key", "term", "pos"], "left_semi").select("key", "w", "at", "start")
         found = kept.unionByName(found.filter(F.size("at") <= i))
     return found.select("key", "w", "start")
@@ -86,10 +86,10 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
     whole = items.filter("item_id is not null").select("item_id", F.array_join(F.array_distinct(tokens(F.col("text"), NOT_WORD)), " ").alias("w")).filter("w <> ''")
     rare = durable(rarest(docs, whole, LISTS))
     index = durable(postings(docs, rare.select(F.explode("at.term").alias("term")).distinct()))
-    found = index.join(rare.withColumn("term", F.col("at")[0]["term"]), "term").select("key", "w", "at", F.col("pos").alias("mid"))
+    found = index.join(rare.withColumn("term", F.get("at", F.lit(0))["term"]), "term").select("key", "w", "at", F.col("pos").alias("mid"))
     near = index.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("pos") / slop) + i for i in (-1, 0, 1)])))
     for i in range(1, LISTS):
-        more = found.filter(F.size("at") > i).withColumns({"term": F.col("at")[i]["term"], "bucket": F.floor(F.col("mid") / slop)})
+        more = found.filter(F.size("at") > i).withColumns({"term": F.get("at", F.lit(i))["term"], "bucket": F.floor(F.col("mid") / slop)})
         same = [more[c] == near[c] for c in ("key", "term", "bucket")] + [F.abs(more["mid"] - near["pos"]) <= slop]
         found = more.join(near, same, "left_semi").select("key", "w", "at", "mid").unionByName(found.filter(F.size("at") <= i))
     held = found.select("key", "w").distinct().join(whole, "w").select("key", "item_id")
