@@ -37,8 +37,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z alone."""
-    return F.translate(c, UPPER, LOWER)
+    """Lower-case A-Z alone: by bytes where all are ASCII, else letter by letter, which is slower."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def tokens(text: Column, separators: str) -> Column:

@@ -18,29 +18,33 @@ def windows(items: DataFrame, size: int) -> DataFrame:
     return words.filter("size(words) > 0").select("item", F.explode(cut).alias("x")).select("item", F.array_join("x", " ").alias("w")).distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, key, pos) of the wanted terms in all texts; key is the text's content key."""
-    rows = docs.select(content_key(F.col("text")).alias("key"), F.posexplode(tokens(F.col("text"), NOT_WORD)).alias("pos", "term"))
-    return rows.join(bounded(terms, SMALL)[0], "term", "left_semi")
+def tokenized(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text) and words of every row, written once for all that reads them."""
+    return durable(docs.select("doc_id", content_key(F.col("text")).alias("key"), tokens(F.col("text"), NOT_WORD).alias("words")))
 
 
-def rarest(docs: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
+def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, key, pos) of the wanted terms in all texts."""
+    return rows.select("key", F.posexplode("words").alias("pos", "term")).join(bounded(terms, SMALL)[0], "term", "left_semi")
+
+
+def rarest(rows: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
     """(w, at): the lists rarest words of each window as (term, offset), rarest first.
 
     Frequencies are counted over all documents; a window with a word that no document has is gone.
     """
     spread = wins.select("w").distinct().select("w", F.posexplode(F.split("w", " ")).alias("o", "term"))
     vocabulary, _ = bounded(spread.select("term").distinct(), SMALL)
-    words = docs.select(F.explode(tokens(F.col("text"), NOT_WORD)).alias("term"))
+    words = rows.select(F.explode("words").alias("term"))
     counts = durable(words.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
     known = spread.join(counts, "term", "left").groupBy("w").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("a"))
     return known.filter(F.get("a", F.lit(0))["n"] > 0).select("w", F.slice("a", 1, lists).alias("at"))
 
 
-def candidates(docs: DataFrame, wins: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, wins: DataFrame) -> DataFrame:
     """(key, w, start): places where the rarest words of a window stand at their offsets."""
-    rare = durable(rarest(docs, wins, LISTS))
-    index = durable(postings(docs, rare.select(F.explode("at.term").alias("term")).distinct()))
+    rare = durable(rarest(rows, wins, LISTS))
+    index = durable(postings(rows, rare.select(F.explode("at.term").alias("term")).distinct()))
     first = bounded(rare.select("w", "at", F.get("at", F.lit(0))["term"].alias("term"), F.get("at", F.lit(0))["o"].alias("o")), SMALL)[0]
     found = index.join(first, "term").select("key", "w", "at", (F.col("pos") - F.col("o")).alias("start")).filter("start >= 0")
     for i in range(1, LISTS):  # shorter windows have fewer lists: they pass on
@@ -55,16 +59,14 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
 
     A document word in any exact occurrence of an item's window of size words is hit. Null texts
     have no words, items without words or id none to find; an item of fewer words is one window.
-    Repeated rows and null document ids keep a row each; further columns are ignored. Texts are
+    Repeated rows and null document ids keep a row each; further columns are ignored. Words are
     shuffled once, by content; an item's or a passage's frequency only adds rows for the documents
     that hold it.
     """
     wins = durable(windows(items, size))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), content_key(F.col("text")).alias("key"), F.size(tokens(F.col("text"), NOT_WORD)).cast("long").alias("n_words"))
-    places = candidates(docs, wins).groupBy("key").agg(F.collect_set(F.struct("start", "w")).alias("c"))
-    words = tokens(F.col("text"), NOT_WORD)
-    checked = rows.join(places, "key", "left").withColumn("words", F.when(F.col("c").isNotNull(), words))
+    rows = tokenized(docs)
+    places = candidates(rows, wins).groupBy("key").agg(F.collect_set(F.struct("start", "w")).alias("c"))
+    checked = rows.withColumn("n_words", F.size("words").cast("long")).join(places, "key", "left")
     exact = F.expr("filter(c, x -> array_join(slice(words, x.start + 1, size(split(x.w, ' '))), ' ') = x.w)")
     checked = checked.select("doc_id", "key", "n_words", exact.alias("c"))
     hit = F.expr("size(array_distinct(flatten(transform(c, x -> sequence(x.start, x.start + size(split(x.w, ' ')) - 1)))))")
@@ -84,8 +86,9 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
     Items without words match nothing; null texts have no words.
     """
     whole = items.filter("item_id is not null").select("item_id", F.array_join(F.array_distinct(tokens(F.col("text"), NOT_WORD)), " ").alias("w")).filter("w <> ''")
-    rare = durable(rarest(docs, whole, LISTS))
-    index = durable(postings(docs, rare.select(F.explode("at.term").alias("term")).distinct()))
+    rows = tokenized(docs)
+    rare = durable(rarest(rows, whole, LISTS))
+    index = durable(postings(rows, rare.select(F.explode("at.term").alias("term")).distinct()))
     found = index.join(rare.withColumn("term", F.get("at", F.lit(0))["term"]), "term").select("key", "w", "at", F.col("pos").alias("mid"))
     near = index.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("pos") / slop) + i for i in (-1, 0, 1)])))
     for i in range(1, LISTS):
@@ -93,4 +96,4 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
         same = [more[c] == near[c] for c in ("key", "term", "bucket")] + [F.abs(more["mid"] - near["pos"]) <= slop]
         found = more.join(near, same, "left_semi").select("key", "w", "at", "mid").unionByName(found.filter(F.size("at") <= i))
     held = found.select("key", "w").distinct().join(whole, "w").select("key", "item_id")
-    return docs.select("doc_id", content_key(F.col("text")).alias("key")).join(held, "key").select("doc_id", "item_id").distinct()
+    return rows.select("doc_id", "key").join(held, "key").select("doc_id", "item_id").distinct()
