@@ -24,8 +24,9 @@ def tokenized(docs: DataFrame) -> DataFrame:
 
 
 def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, key, pos) of the wanted terms in all texts."""
-    return rows.select("key", F.posexplode("words").alias("pos", "term")).join(bounded(terms, SMALL)[0], "term", "left_semi")
+    """(h, k, pos) of the wanted terms in all texts: hashes of term and key, and the position."""
+    found = rows.select("key", F.posexplode("words").alias("pos", "term")).join(bounded(terms, SMALL)[0], "term", "left_semi")
+    return found.select(F.xxhash64("term").alias("h"), F.xxhash64("key").alias("k"), "pos")
 
 
 def rarest(rows: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
@@ -42,16 +43,22 @@ def rarest(rows: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, wins: DataFrame) -> DataFrame:
-    """(key, w, start): places where the rarest words of a window stand at their offsets."""
-    rare = durable(rarest(rows, wins, LISTS))
+    """(k, w, start): places where the rarest words of a window stand at their offsets.
+
+    Rows carry hashes alone, of text, window and word; whoever asks compares the words.
+    """
+    rare = durable(rarest(rows, wins, LISTS).withColumn("wid", F.xxhash64("w")))
     index = durable(postings(rows, rare.select(F.explode("at.term").alias("term")).distinct()))
-    first = bounded(rare.select("w", "at", F.get("at", F.lit(0))["term"].alias("term"), F.get("at", F.lit(0))["o"].alias("o")), SMALL)[0]
-    found = index.join(first, "term").select("key", "w", "at", (F.col("pos") - F.col("o")).alias("start")).filter("start >= 0")
-    for i in range(1, LISTS):  # shorter windows have fewer lists: they pass on
-        more = found.filter(F.size("at") > i).withColumns({"term": F.get("at", F.lit(i))["term"], "pos": F.col("start") + F.get("at", F.lit(i))["o"]})
-        kept = more.join(index, ["key", "term", "pos"], "left_semi").select("key", "w", "at", "start")
-        found = kept.unionByName(found.filter(F.size("at") <= i))
-    return found.select("key", "w", "start")
+
+    def nth(i):  # windows of fewer words have fewer lists: they meet their first again
+        x = F.coalesce(F.get("at", F.lit(i)), F.get("at", F.lit(0)))
+        return bounded(rare.select("wid", F.xxhash64(x["term"]).alias("h"), x["o"].alias("o")), SMALL)[0]
+
+    found = index.join(nth(0), "h").select("k", "wid", (F.col("pos") - F.col("o")).alias("start")).filter("start >= 0")
+    for i in range(1, LISTS):
+        more = found.join(nth(i), "wid").select("k", "h", (F.col("start") + F.col("o")).alias("pos"), "wid", "start")
+        found = more.join(index, ["k", "h", "pos"], "left_semi").select("k", "wid", "start")
+    return found.distinct().join(bounded(rare.select("wid", "w"), SMALL)[0], "wid").select("k", "w", "start")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -65,8 +72,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     """
     wins = durable(windows(items, size))
     rows = tokenized(docs)
-    places = candidates(rows, wins).groupBy("key").agg(F.collect_set(F.struct("start", "w")).alias("c"))
-    checked = rows.withColumn("n_words", F.size("words").cast("long")).join(places, "key", "left")
+    places = candidates(rows, wins).groupBy("k").agg(F.collect_set(F.struct("start", "w")).alias("c"))
+    checked = rows.withColumns({"k": F.xxhash64("key"), "n_words": F.size("words").cast("long")}).join(places, "k", "left")
     exact = F.expr("filter(c, x -> array_join(slice(words, x.start + 1, size(split(x.w, ' '))), ' ') = x.w)")
     checked = checked.select("doc_id", "key", "n_words", exact.alias("c"))
     hit = F.expr("size(array_distinct(flatten(transform(c, x -> sequence(x.start, x.start + size(split(x.w, ' ')) - 1)))))")
@@ -89,11 +96,12 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
     rows = tokenized(docs)
     rare = durable(rarest(rows, whole, LISTS))
     index = durable(postings(rows, rare.select(F.explode("at.term").alias("term")).distinct()))
-    found = index.join(rare.withColumn("term", F.get("at", F.lit(0))["term"]), "term").select("key", "w", "at", F.col("pos").alias("mid"))
+    nth = lambda i: F.xxhash64(F.get("at", F.lit(i))["term"])
+    found = index.join(rare.withColumn("h", nth(0)), "h").select("k", "w", "at", F.col("pos").alias("mid"))
     near = index.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("pos") / slop) + i for i in (-1, 0, 1)])))
     for i in range(1, LISTS):
-        more = found.filter(F.size("at") > i).withColumns({"term": F.get("at", F.lit(i))["term"], "bucket": F.floor(F.col("mid") / slop)})
-        same = [more[c] == near[c] for c in ("key", "term", "bucket")] + [F.abs(more["mid"] - near["pos"]) <= slop]
-        found = more.join(near, same, "left_semi").select("key", "w", "at", "mid").unionByName(found.filter(F.size("at") <= i))
-    held = found.select("key", "w").distinct().join(whole, "w").select("key", "item_id")
-    return rows.select("doc_id", "key").join(held, "key").select("doc_id", "item_id").distinct()
+        more = found.filter(F.size("at") > i).withColumns({"h": nth(i), "bucket": F.floor(F.col("mid") / slop)})
+        same = [more[c] == near[c] for c in ("k", "h", "bucket")] + [F.abs(more["mid"] - near["pos"]) <= slop]
+        found = more.join(near, same, "left_semi").select("k", "w", "at", "mid").unionByName(found.filter(F.size("at") <= i))
+    held = found.select("k", "w").distinct().join(whole, "w").select("k", "item_id")
+    return rows.select("doc_id", F.xxhash64("key").alias("k")).join(held, "k").select("doc_id", "item_id").distinct()
