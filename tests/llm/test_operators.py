@@ -37,6 +37,7 @@ def test_decontamination(spark, docs, none):
     assert got[7]["n_hit"] == got[8]["n_hit"] == 1 and not got[0]["contaminated"] and got[4]["n_words"] == 0
     assert decontaminate.contaminated(docs, items).count() == docs.count()
     assert decontaminate.contaminated(none, items).count() == 0
+    assert (3, 1) in {tuple(r) for r in decontaminate.proximity(docs, items).collect()}
 
 
 def test_suffix_dedup(docs):
