@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtally.llm import decontaminate, mixing, near_dedup, quality, suffix_dedup
-from evtally.llm.common import content_key, durable, table
+from evtally.llm.common import bounded, content_key, durable, table
 
 #: Bytes of a passage that counts as a repeat: 50 words of four bytes, their blanks included.
 PASSAGE = 200
+#: Rows that a join may broadcast once they are counted.
+SMALL = 50_000
 
 
 def _same(docs: DataFrame) -> DataFrame:
@@ -24,10 +26,25 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (the one of the smallest id)."""
-    gone = near_dedup.near_duplicates(docs, width=5).filter("not kept").select(F.col("doc_id").alias("gone"), "key").distinct()
+    """One row of each group of near-duplicates: of the smallest id, null ids last, then of the least key.
+
+    Texts without shingles are linked with nothing; of those only rows that repeat an id are removed.
+    """
+    found = durable(near_dedup.near_duplicates(docs, width=5).select("doc_id", "key", "root"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = found.filter("root is not null").groupBy("root").agg(F.min(first).alias("best"), F.count("*").alias("n"))
+    best, _ = bounded(durable(best.filter("n > 1").select("root", "best")), SMALL)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
+    gone = found.join(best, "root").filter(other).select(F.col("doc_id").alias("gone"), F.col("key").alias("of")).distinct()
     rows = _same(docs).withColumn("key", content_key(F.col("text")))
-    return _same(rows.join(gone, (rows["key"] == gone["key"]) & rows["doc_id"].eqNullSafe(gone["gone"]), "left_anti"))
+    rows = rows.join(gone, (rows["key"] == gone["of"]) & rows["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    again = found.filter("root is not null or doc_id is not null").groupBy(F.col("doc_id").alias("twice"), F.col("key").alias("of")).agg(F.count("*").alias("n"))
+    again = durable(again.filter("n > 1").select("twice", "of"))
+    if not again.limit(1).count():
+        return _same(rows)
+    again, _ = bounded(again, SMALL)
+    same = (rows["key"] == again["of"]) & rows["doc_id"].eqNullSafe(again["twice"])
+    return _same(rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "key"])))
 
 
 def passage_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

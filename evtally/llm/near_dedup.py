@@ -246,7 +246,8 @@ def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, key (the text's content key), n_shingles, component_id (the smallest id reachable) and kept of every row.
+    """doc_id, key (the text's content key), n_shingles, component_id (the smallest id reachable), kept
+    and root (the component's own number, null without shingles) of every row.
 
     Rows of equal shingle sets are one node. Each node is first compared with the least node of
     each band it shares, then with a node that each band draws; then pairs of a band that still lie
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = durable(band.join(roots, "node", "left").select("band", "bucket", "node", F.coalesce("root", "node").alias("root")))
     roots = joined(roots, durable(contested(members, nodes, docs, width, percent)))
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
-    labels = roots.join(least, "root").select(F.col("node").alias("at"), "least").unionByName(nodes.join(roots, "node", "left_anti").select(F.col("node").alias("at"), F.col("doc_id").alias("least")))
+    labels = roots.join(least, "root").select(F.col("node").alias("at"), "least", "root").unionByName(nodes.join(roots, "node", "left_anti").select(F.col("node").alias("at"), F.col("doc_id").alias("least"), F.col("node").alias("root")))
     out = rows.select("doc_id", "key", "node", "n").join(labels, F.col("node") == F.col("at"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")

@@ -38,7 +38,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("key")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("key", "root")
 
 
 def op7_token_counts(spark, sf_dir):

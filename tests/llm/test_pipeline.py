@@ -63,3 +63,16 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in got[4][1]} == {i for i, _ in got[4][0]}
     sizes = {i: len((t or "").split()) for i, t in got[4][0]}
     assert all(r["size"] == sizes[r["doc_id"]] and 0 <= r["taken"] <= 3 * r["size"] for r in got[4][1])
+
+
+def test_one_row_of_each_component(spark, tmp_path):
+    """Repeated rows and copies without an id leave one whole text, which the next stage then keeps."""
+    one, two, three = SAY(120), SAY(120), SAY(120)
+    rows = [(1, one), (1, one), (2, one + " end"), (None, two), (None, two), (None, two + " end"), (None, three), (3, three), (4, ""), (4, ""), (None, None), (5, SAY(50)), (None, SAY(50))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = durable(corpus_pipeline.near_dedup_filter(spark, docs, str(tmp_path)))
+    kept = [tuple(r) for r in got.select("doc_id", "text").collect()]
+    texts = [t for i, t in kept if i is None and t in (two, two + " end")]
+    assert len(texts) == 1 and sorted(kept, key=str) == sorted([(1, one), (None, texts[0]), (3, three), (4, ""), (None, None), rows[-2], rows[-1]], key=str)
+    passed = corpus_pipeline.passage_removal(spark, got, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in passed) == sorted(t or "" for _, t in kept)
