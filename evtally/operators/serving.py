@@ -66,12 +66,20 @@ def reconcile(domains: DataFrame, scope: str | None = None) -> DataFrame:
     return x.agg(F.count("*").alias("domains"), *n.values()).withColumn("fully_consistent", F.col("domains") == F.col("consistent"))
 
 
-def explain(claim: DataFrame, rejected: DataFrame, cell: str, limit: int = 20_000) -> DataFrame:
-    """(step, item, detail): the claim, its evidence, and the rejects of its generation and measure; empty if there is none."""
+def explain(claim: DataFrame, rejected: DataFrame, cell: str, limit: int | None = None) -> DataFrame:
+    """(step, item, detail): the claim, its evidence, and the rejects of its generation and measure; empty if there is none.
+
+    All rejects are given unless a limit, an entry budget, is set; what it cuts is told by a row
+    'truncated' of the rejects available and returned.
+    """
     c = claim.filter(F.col("cell") == cell)
     fact = F.explode(F.array(F.struct(F.lit("basis").alias("step"), F.col("basis").alias("item"), F.col("scope").alias("detail")), F.struct(F.lit("total").alias("step"), F.col("known_total").cast("string").alias("item"), F.col("known_contributions").cast("string").alias("detail"))))
     out = c.select(fact.alias("e")).select("e.*").unionByName(c.select(F.lit("counted").alias("step"), F.explode("evidence").alias("item"), F.lit("").alias("detail")))
-    near = rejected.join(c.select("generation", "measure"), ["generation", "measure"], "left_semi").orderBy("reason", "source", "id").limit(limit)
+    near = rejected.join(c.select("generation", "measure"), ["generation", "measure"], "left_semi")
+    if limit is not None:
+        cut = near.agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+        out = out.unionByName(cut.select(F.lit("truncated").alias("step"), F.col("n").cast("string").alias("item"), F.lit(str(limit)).alias("detail")))
+        near = near.orderBy("reason", "source", "id").limit(limit)
     return out.unionByName(near.select(F.lit("excluded").alias("step"), F.col("id").alias("item"), F.col("reason").alias("detail")))
 
 

@@ -219,7 +219,7 @@ def reconcile(spark, d):
 def explain_steps(spark, d):
     x = derived(spark, d)
     first = x.claims.agg(F.min("cell")).head()[0]
-    return serving.explain(x.claims, x.rejected, first or "", 50_000)
+    return serving.explain(x.claims, x.rejected, first or "")
 
 
 @query("SELECT scope, category, coalesce(resource, '-') AS resource, cast(known_total AS varchar) AS known_total, 'known' AS coverage FROM claims")

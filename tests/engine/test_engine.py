@@ -168,3 +168,20 @@ def test_stream(spark, topo, tmp_path):
     spark.createDataFrame([ob(1, 100), ob(2, 7)], OBSERVATION).write.parquet(f"file://{tmp_path}/in")
     stream_evidence(led, f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
     assert led.stats()["observations"] == 2
+
+
+def test_explain_gives_all_rejects(spark, monkeypatch):
+    """The registered query has no row cap; an entry budget reports what it cuts."""
+    from types import SimpleNamespace
+
+    from evtally import queries
+    from evtally.operators import serving
+
+    claims = spark.createDataFrame([("c", "g", "m", "b", "s", 1, 1, ["e"])], "cell string, generation string, measure string, basis string, scope string, known_total long, known_contributions long, evidence array<string>")
+    rejected = spark.range(50_001).select(F.lit("g").alias("generation"), F.lit("m").alias("measure"), F.lit("r").alias("reason"), F.lit("x").alias("source"), F.col("id").cast("string").alias("id"))
+    monkeypatch.setattr(queries, "derived", lambda *_: SimpleNamespace(claims=claims, rejected=rejected))
+    steps = lambda df: {r["step"]: r["count"] for r in df.groupBy("step").count().collect()}
+    assert steps(queries.explain_steps(spark, "")) == {"basis": 1, "total": 1, "counted": 1, "excluded": 50_001}
+    cut = serving.explain(claims, rejected, "c", 7)
+    assert steps(cut)["excluded"] == 7 and [tuple(r) for r in cut.filter("step = 'truncated'").collect()] == [("truncated", "50001", "7")]
+    assert "truncated" not in steps(serving.explain(claims, rejected, "c", 50_001))
