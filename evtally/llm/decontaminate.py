@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_WORD, bounded, content_key, durable, tokens
 
 #: Rows that a join may broadcast once they are counted, and lists intersected before the exact check.
 SMALL, LISTS = 50_000, 3
+#: Places of items' rarest words that a join may broadcast once they are counted.
+PLACES = 200_000
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
@@ -29,26 +33,34 @@ def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return found.select(F.xxhash64("term").alias("h"), F.xxhash64("key").alias("k"), "pos")
 
 
-def rarest(rows: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
+def frequencies(rows: DataFrame, wins: DataFrame) -> DataFrame:
+    """(term, n): how often all documents hold each word of the windows, if at all."""
+    vocabulary, _ = bounded(wins.select(F.explode(F.split("w", " ")).alias("term")).distinct(), SMALL)
+    words = rows.select(F.explode("words").alias("term"))
+    return durable(words.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
+
+
+def rarest(counts: DataFrame, wins: DataFrame, lists: int) -> DataFrame:
     """(w, at): the lists rarest words of each window as (term, offset), rarest first.
 
-    Frequencies are counted over all documents; a window with a word that no document has is gone.
+    A window with a word that no document has is gone.
     """
     spread = wins.select("w").distinct().select("w", F.posexplode(F.split("w", " ")).alias("o", "term"))
-    vocabulary, _ = bounded(spread.select("term").distinct(), SMALL)
-    words = rows.select(F.explode("words").alias("term"))
-    counts = durable(words.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
     known = spread.join(counts, "term", "left").groupBy("w").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("a"))
     return known.filter(F.get("a", F.lit(0))["n"] > 0).select("w", F.slice("a", 1, lists).alias("at"))
 
 
-def candidates(rows: DataFrame, wins: DataFrame) -> DataFrame:
+def listed(*rare: DataFrame) -> DataFrame:
+    """The terms of all lists, each once."""
+    terms = [r.select(F.explode("at.term").alias("term")) for r in rare]
+    return reduce(DataFrame.unionByName, terms).distinct()
+
+
+def candidates(rare: DataFrame, index: DataFrame) -> DataFrame:
     """(k, w, start): places where the rarest words of a window stand at their offsets.
 
     Rows carry hashes alone, of text, window and word; whoever asks compares the words.
     """
-    rare = durable(rarest(rows, wins, LISTS).withColumn("wid", F.xxhash64("w")))
-    index = durable(postings(rows, rare.select(F.explode("at.term").alias("term")).distinct()))
 
     def nth(i):  # windows of fewer words have fewer lists: they meet their first again
         x = F.coalesce(F.get("at", F.lit(i)), F.get("at", F.lit(0)))
@@ -61,47 +73,102 @@ def candidates(rows: DataFrame, wins: DataFrame) -> DataFrame:
     return found.distinct().join(bounded(rare.select("wid", "w"), SMALL)[0], "wid").select("k", "w", "start")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def whole_items(items: DataFrame, slop: int) -> DataFrame:
+    """(item, w, span): each item's distinct words, and in how many words of a text they all must stand."""
+    words = tokens(F.col("text"), NOT_WORD)
+    found = items.filter("item_id is not null").select(F.col("item_id").alias("item"), words.alias("words")).filter("size(words) > 0")
+    return found.select("item", F.array_join(F.array_distinct("words"), " ").alias("w"), (F.size("words") + slop).alias("span"))
+
+
+def nearby(rare: DataFrame, whole: DataFrame, index: DataFrame) -> DataFrame:
+    """(k, w, span, mid): places of an item's rarest word with its next rarest ones within the span.
+
+    Positions are compared in buckets of a span, so no list is paired with all of another, and few
+    rows meet the index; whoever asks compares the other words.
+    """
+    known = rare.join(whole.select("w", "span").distinct(), "w").withColumn("wid", F.xxhash64("w", "span"))
+
+    def nth(i):  # items of fewer words meet their first again
+        x = F.coalesce(F.get("at", F.lit(i)), F.get("at", F.lit(0)))
+        return bounded(known.select("wid", "span", F.xxhash64(x["term"]).alias("h")), SMALL)[0]
+
+    widest = whole.agg(F.coalesce(F.max("span"), F.lit(1))).head()[0]
+    found = index.join(nth(0), "h").select("k", "wid", F.col("pos").alias("mid"))
+    bins = index.select("k", "h", "pos", F.floor(F.col("pos") / widest).alias("bin"))
+    for i in range(1, LISTS):
+        about = F.explode(F.array(*[F.floor(F.col("mid") / widest) + j for j in (-1, 0, 1)]))
+        more = durable(found.join(nth(i), "wid").select("k", "h", "wid", "mid", "span", about.alias("bin")))
+        found = bins.join(bounded(more, PLACES)[0], ["k", "h", "bin"]).filter(F.abs(F.col("mid") - F.col("pos")) < F.col("span")).select("k", "wid", "mid").distinct()
+    return found.join(bounded(known.select("wid", "w", "span"), SMALL)[0], "wid").select("k", "w", "span", "mid")
+
+
+def gathered(near: DataFrame) -> DataFrame:
+    """(k, p): the places of each text, with the words that must stand about them."""
+    return near.groupBy("k").agg(F.collect_set(F.struct("mid", "span", F.split("w", " ").alias("terms"))).alias("p"))
+
+
+def about() -> Column:
+    """Those of the places p about which a stretch of span words holds every word of the item; null if there are none.
+
+    Such a stretch holds the rarest word, so it starts less than a span before a place of that word.
+    """
+    first = "greatest(0, x.mid - x.span + 1)"
+    left = lambda at, n: f"size(array_except(x.terms, slice(words, {at} + 1, {n}))) = 0"
+    return F.expr(f"filter(p, x -> CASE WHEN {left(first, f'x.mid - {first} + x.span')} THEN exists(sequence({first}, x.mid), s -> {left('s', 'x.span')}) ELSE false END)")
+
+
+def held(found: DataFrame, whole: DataFrame, on: list[str]) -> DataFrame:
+    """(key, ids): the items of the texts' windows (or spans), sorted, each once."""
+    return found.join(bounded(whole, SMALL)[0], on).select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
     """doc_id, key (the text's content key), n_words, n_hit, n_items, items_sha256, contaminated of every row.
 
-    A document word in any exact occurrence of an item's window of size words is hit. Null texts
-    have no words, items without words or id none to find; an item of fewer words is one window.
-    Repeated rows and null document ids keep a row each; further columns are ignored. Words are
-    shuffled once, by content; an item's or a passage's frequency only adds rows for the documents
-    that hold it.
+    A document word in any exact occurrence of an item's window of size words is hit. With slop,
+    n_near and near_sha256 tell the items that proximity() finds, too. Null texts have no words,
+    items without words or id none to find; an item of fewer words is one window. Repeated rows and
+    null document ids keep a row each; further columns are ignored. Words are shuffled once, by
+    content; an item's or a passage's frequency only adds rows for the documents that hold it.
     """
     wins = durable(windows(items, size))
     rows = tokenized(docs)
-    places = candidates(rows, wins).groupBy("k").agg(F.collect_set(F.struct("start", "w")).alias("c"))
+    counts = frequencies(rows, wins)
+    lists = [durable(rarest(counts, wins, LISTS).withColumn("wid", F.xxhash64("w")))]
+    if slop is not None:
+        whole = durable(whole_items(items, slop).withColumn("item", F.col("item").cast("string")))
+        lists.append(durable(rarest(counts, whole, LISTS)))
+    index = durable(postings(rows, listed(*lists)))
+    places = candidates(lists[0], index).groupBy("k").agg(F.collect_set(F.struct("start", "w")).alias("c"))
+    if slop is not None:
+        places = places.join(gathered(nearby(lists[1], whole, index)), "k", "full")
     checked = rows.withColumns({"k": F.xxhash64("key"), "n_words": F.size("words").cast("long")}).join(places, "k", "left")
     exact = F.expr("filter(c, x -> array_join(slice(words, x.start + 1, size(split(x.w, ' '))), ' ') = x.w)")
-    checked = checked.select("doc_id", "key", "n_words", exact.alias("c"))
+    checked = checked.select("doc_id", "key", "n_words", exact.alias("c"), *([] if slop is None else [about().alias("p")]))
     hit = F.expr("size(array_distinct(flatten(transform(c, x -> sequence(x.start, x.start + size(split(x.w, ' ')) - 1)))))")
-    checked = durable(checked.select("doc_id", "key", "n_words", F.when(F.size("c") > 0, hit).otherwise(0).cast("long").alias("n_hit"), F.when(F.size("c") > 0, F.array_distinct(F.col("c.w"))).alias("ws")))
-    held = checked.filter("n_hit > 0").dropDuplicates(["key"]).select("key", F.explode("ws").alias("w"))
-    held = held.join(bounded(wins, SMALL)[0], "w").select("key", "item").distinct()
-    held = held.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    out = checked.join(held, "key", "left")
-    return out.select("doc_id", "key", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    near = [] if slop is None else [F.expr("array_distinct(transform(p, x -> struct(array_join(x.terms, ' ') AS w, x.span AS span)))").alias("ps")]
+    checked = durable(checked.select("doc_id", "key", "n_words", F.when(F.size("c") > 0, hit).otherwise(0).cast("long").alias("n_hit"), F.when(F.size("c") > 0, F.array_distinct(F.col("c.w"))).alias("ws"), *near))
+    none = F.array().cast("array<string>")
+    ids = F.coalesce("ids", none)
+    told = lambda n, sha: [F.size(ids).cast("long").alias(n), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias(sha)]
+    own = held(checked.filter("n_hit > 0").dropDuplicates(["key"]).select("key", F.explode("ws").alias("w")), wins, ["w"])
+    out = checked.join(own, "key", "left")
+    columns = ["doc_id", "key", "n_words", "n_hit", *told("n_items", "items_sha256"), (F.col("n_hit") > 0).alias("contaminated")]
+    if slop is None:
+        return out.select(columns)
+    own = held(checked.filter("size(ps) > 0").dropDuplicates(["key"]).select("key", F.inline("ps")), whole, ["w", "span"])
+    return out.select(columns).join(own, "key", "left").select("doc_id", "key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *told("n_near", "near_sha256"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
-    """doc_id, item_id where an item's rarest words (up to three) stand within slop words of the rarest.
+    """doc_id, item_id where all of an item's words stand, in any order, in a stretch of slop words more than it has.
 
-    Positions are compared in buckets of slop words, so no list is paired with all of another.
     Items without words match nothing; null texts have no words.
     """
-    whole = items.filter("item_id is not null").select("item_id", F.array_join(F.array_distinct(tokens(F.col("text"), NOT_WORD)), " ").alias("w")).filter("w <> ''")
+    whole = durable(whole_items(items, slop))
     rows = tokenized(docs)
-    rare = durable(rarest(rows, whole, LISTS))
-    index = durable(postings(rows, rare.select(F.explode("at.term").alias("term")).distinct()))
-    nth = lambda i: F.xxhash64(F.get("at", F.lit(i))["term"])
-    found = index.join(rare.withColumn("h", nth(0)), "h").select("k", "w", "at", F.col("pos").alias("mid"))
-    near = index.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("pos") / slop) + i for i in (-1, 0, 1)])))
-    for i in range(1, LISTS):
-        more = found.filter(F.size("at") > i).withColumns({"h": nth(i), "bucket": F.floor(F.col("mid") / slop)})
-        same = [more[c] == near[c] for c in ("k", "h", "bucket")] + [F.abs(more["mid"] - near["pos"]) <= slop]
-        found = more.join(near, same, "left_semi").select("k", "w", "at", "mid").unionByName(found.filter(F.size("at") <= i))
-    held = found.select("k", "w").distinct().join(whole, "w").select("k", "item_id")
-    return rows.select("doc_id", F.xxhash64("key").alias("k")).join(held, "k").select("doc_id", "item_id").distinct()
+    rare = durable(rarest(frequencies(rows, whole), whole, LISTS))
+    near = gathered(nearby(rare, whole, durable(postings(rows, listed(rare)))))
+    found = rows.withColumn("k", F.xxhash64("key")).join(near, "k").select("doc_id", F.explode(about()).alias("x"))
+    found = found.select("doc_id", F.array_join("x.terms", " ").alias("w"), F.col("x.span").alias("span")).distinct()
+    return found.join(bounded(whole, SMALL)[0], ["w", "span"]).select("doc_id", F.col("item").alias("item_id")).distinct()

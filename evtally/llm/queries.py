@@ -17,7 +17,7 @@ def tokenizer_file() -> str:
 
 
 def op1_decontaminate(spark, sf_dir):
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=20).drop("key")
 
 
 def op2_url_filter(spark, sf_dir):

@@ -40,6 +40,35 @@ def test_decontamination(spark, docs, none):
     assert (3, 1) in {tuple(r) for r in decontaminate.proximity(docs, items).collect()}
 
 
+def test_proximity_has_all_words(spark):
+    """Every word of the item must stand in the stretch, not only the three rarest; op1 tells the matches."""
+    r = random.Random(3)
+    item = [f"q{i}" for i in range(14)]
+    say = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    mixed, spread = list(item), [x for w in item for x in (w, "a")]
+    r.shuffle(mixed)
+    texts = {
+        1: say(30) + " " + " ".join(mixed) + " " + say(30),  # in another order
+        2: say(9) + " " + " ".join(spread) + " " + say(5),  # 27 words
+        3: say(9) + " " + " ".join(item[:13]) + " " + say(40),  # one word short
+        4: " ".join(item[:7]) + " " + say(60) + " " + " ".join(item[7:]),  # too far apart
+        5: " ".join(f"{w} {w}" for w in item[1:]) + " " + say(25),  # the others, twice
+        6: item[0] + " " + " ".join(item[:7]) + " " + say(20) + " " + " ".join(item[7:]),  # exactly 34 words
+        7: " ".join(item[:7]) + " " + say(21) + " " + " ".join(item[7:]),  # 35
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(8, None), (None, texts[1]), (1, texts[1])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "zzz")], "item_id long, text string")
+
+    def want(t):
+        w = (t or "").split()
+        return any(set(item) <= set(w[i : i + 34]) for i in range(len(w)))
+
+    assert {tuple(x) for x in decontaminate.proximity(docs, items).collect()} == {(i, 1) for i, t in [*texts.items(), (None, texts[1])] if want(t)} == {(1, 1), (2, 1), (6, 1), (None, 1)}
+    rows = decontaminate.contaminated(docs, items, slop=20).collect()
+    assert len(rows) == 10 and {x["doc_id"] for x in rows if x["n_near"] == 1} == {1, 2, 6, None}
+    assert {x["near_sha256"] for x in rows if x["n_near"]} == {hashlib.sha256(b"1").hexdigest()}
+
+
 def test_suffix_dedup(docs):
     texts = [(r["text"] or "").encode() for r in docs.collect()]
     seen = collections.Counter(b[i : i + 400] for b in texts for i in range(len(b) - 399))
