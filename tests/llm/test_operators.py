@@ -133,6 +133,19 @@ def test_licenses(docs, none):
     assert [r[:2] for r in licenses.scan(docs).collect()] == [(9, "MIT")] and licenses.scan(none).count() == 0 and licenses.scan(docs, {}).count() == 0
 
 
+def test_license_texts_and_shortest_statement(spark):
+    """Three words are found among thirteen other shingles in each of 300 texts, and every template in its own text."""
+    r = random.Random(4)
+    say = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    rows = [(i, say(5 + i % 9) + " Released All rights reserved. " + say(20)) for i in range(300)]
+    rows += [(1000 + i, say(30) + "\n" + t + "\n" + say(30)) for i, t in enumerate(licenses.TEMPLATES.values())]
+    got = {(x["doc_id"], x["license"]) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, "All-rights-reserved") for i in range(300)} <= got
+    assert {(1000 + i, name) for i, name in enumerate(licenses.TEMPLATES)} <= got
+    families = {"MIT", "ISC", "BSD", "Apache", "GPL", "LGPL", "AGPL", "MPL", "CC0", "All"}
+    assert families <= {name.split("-")[0] for name in licenses.TEMPLATES}
+
+
 def test_quality_and_urls(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(9)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, quality.fit(docs, labels)).collect()
