@@ -34,7 +34,7 @@ def op4_license_scan(spark, sf_dir):
 
 
 def op5_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_near_dedup(spark, sf_dir):

@@ -3,7 +3,9 @@
 Every window of length bytes is keyed by the least hash of the shorter strings in it, which equal
 windows share. Consecutive windows of one key form a segment. A key met once holds no repeat; equal
 segments repeat whole; the distinct segments of a key are compared by a suffix array from two-stage
-sorting and by the common prefixes of its neighbours.
+sorting and by the common prefixes of its neighbours. A key with more bytes of distinct segments
+than one task should sort is cut by longer strings: its segments are keyed anew, as texts are, by
+the least hash of strings nearer to the length, up to the whole window.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, durable
+from .common import bounded, durable, released, sliced
 
-LENGTH, GRAM = 400, 64
-#: Bytes that make a repeat, and of the strings that key its windows. Most windows of a segment; bytes sorted at once; segments of a key beyond which windows are
-#: counted by their own hash instead; rows that a join may broadcast once counted.
-RUN, CHUNK, CROWD, SMALL = 4096, 1_000_000, 1500, 100_000
+LENGTH = 400
+#: Parts of the length that strings have which key a window, from level to level.
+GRAMS = (0.16, 0.4, 0.7, 1.0)
+#: Most windows of a segment; bytes of a text keyed at once; bytes of distinct segments sorted at once;
+#: rows that a join may broadcast once counted.
+RUN, PIECE, CHUNK, SMALL = 4096, 1 << 18, 500_000, 100_000
 _R = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -28,21 +32,18 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         with np.errstate(over="ignore"):
-            _POWERS[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 17), r, np.uint64)])) for r in (_R, pow(_R, -1, 2**64))]
+            _POWERS[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 15), r, np.uint64)])) for r in (_R, pow(_R, -1, 2**64))]
     return _POWERS[0], _POWERS[1]
 
 
-def gram_of(length: int) -> int:
-    """Bytes of the strings whose least hash keys a window."""
-    return max(4, length * GRAM // 400)
+def gram_of(length: int, level: int = 0) -> int:
+    """Bytes of the strings whose least hash keys a window; on the last level the whole window."""
+    return min(length, max(4, int(length * GRAMS[level])))
 
 
-def segments(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, bool]]:
-    """(key, first window, windows, whether the key's string stands in it twice) of a text, in order."""
-    n, gram = len(data), gram_of(length)
-    w = length - gram + 1
-    if n < length:
-        return []
+def _keyed(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' hashes, and the key of every window of a text no longer than a piece."""
+    n, w = len(data), length - gram + 1
     up, down = powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * down[:n])])
@@ -54,14 +55,24 @@ def segments(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, boo
     blocks[: len(h)] = h
     blocks = blocks.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(ahead[: n - length + 1], np.minimum.accumulate(blocks, axis=1).reshape(-1)[w - 1 : n - gram + 1])
-    cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
-    out = []
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        key = least[s]
-        twice = bool(np.count_nonzero(h[s : e + w - 1] == key) > 1)
-        out += [(int(key.view(np.int64)), x, min(RUN, e - x), twice) for x in range(s, e, RUN)]
-    return out
+    return h, np.minimum(ahead[: n - length + 1], np.minimum.accumulate(blocks, axis=1).reshape(-1)[w - 1 : n - gram + 1])
+
+
+def segments(data: bytes, length: int = LENGTH, level: int = 0):
+    """(key, first window, windows, whether the key's string stands in it twice) of a text, in order.
+
+    A long text is keyed piece by piece; a piece's end only cuts a segment in two.
+    """
+    gram = gram_of(length, level)
+    w = length - gram + 1
+    for lo in range(0, max(0, len(data) - length + 1), PIECE):
+        h, least = _keyed(data[lo : lo + PIECE + length - 1], length, gram)
+        cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            key = least[s]
+            twice = bool(np.count_nonzero(h[s : e + w - 1] == key) > 1)
+            for x in range(s, e, RUN):
+                yield int(key.view(np.int64)), lo + x, min(RUN, e - x), twice
 
 
 def mark(segment: bytes) -> tuple[int, int]:
@@ -84,18 +95,19 @@ def two_stage(parts: list[bytes], wanted: list[int], length: int = LENGTH) -> np
     t[stop] = 0  # below all bytes
     # smaller than the successor: by the next byte that differs
     step = np.sign(t[1:] - t[:-1])
-    at = np.where(step != 0, np.arange(len(step)), len(step) - 1)
+    at = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step) - 1))
     small = np.append(step[np.minimum.accumulate(at[::-1])[::-1]] > 0, False)
     small[stop] = False
     # a part's suffixes are needed up to the first small one from its last wanted on
-    near = np.where(small, np.arange(len(t)), len(t))
+    near = np.where(small, np.arange(len(t), dtype=np.int32), np.int32(len(t)))
     near = np.minimum.accumulate(near[::-1])[::-1]
     last = np.minimum(near[first + np.array(wanted) - 1], stop)
+    del step, at, near
     need = np.zeros(len(t) + 1, np.int8)
     np.add.at(need, first, 1)
     np.add.at(need, last + 1, -1)
-    need = np.cumsum(need[:-1]) > 0
-    end = np.repeat(stop, sizes)
+    need = np.cumsum(need[:-1], dtype=np.int8) > 0
+    end = np.repeat(stop.astype(np.int32), sizes)
     direct = np.flatnonzero(small & need)
     by_byte = np.split(direct[np.argsort(t[direct], kind="stable")], np.cumsum(np.bincount(t[direct], minlength=257))[:-1])
     front: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -146,45 +158,48 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _places(docs: DataFrame, length: int) -> DataFrame:
-    """(m, h1, h2, rid, sn): every segment's key and content hash, its text, and first window, windows, twice in one long."""
+def _places(rows: DataFrame, length: int, level: int) -> DataFrame:
+    """(m, h1, h2, rid, sn): every segment's key and content hash, its text, and first window, windows, twice in one long.
+
+    On the last level a segment's windows are equal, and their hash is the key.
+    """
+    last = level + 1 == len(GRAMS)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, ("data",)):
             cols: list[list[int]] = [[], [], [], [], []]
-            for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = text.encode()
-                for m, s, n, twice in segments(data, length):
-                    for c, v in zip(cols, (m, *mark(data[s : s + n + length - 1]), rid, s << 14 | n << 1 | twice), strict=True):
+            for rid, data in zip(b.column("rid").to_pylist(), b.column("data").to_pylist(), strict=True):
+                for m, s, n, twice in segments(data, length, level):
+                    h1, h2 = mark(data[s : s + (length if last else n + length - 1)])
+                    for c, v in zip(cols, (h1 if last else m, h1, h2, rid, s << 14 | n << 1 | twice), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["m", "h1", "h2", "rid", "sn"])
 
-    return docs.mapInArrow(run, "m long, h1 long, h2 long, rid long, sn long")
+    return rows.select("rid", "data").mapInArrow(run, "m long, h1 long, h2 long, rid long, sn long")
 
 
-def _bytes(docs: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """(m, h1, h2, n, c, part): the bytes of the needed segments, each from one text that holds it."""
-    ids = docs.select("rid", "doc_id")
-    whole, small = bounded(durable(need.groupBy("rid").agg(F.collect_list(F.struct("m", "h1", "h2", "c")).alias("list"))), SMALL)
-    ids = ids.join(whole.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.min("doc_id").alias("one"))  # a copy for all
-    whole = durable(whole.join(ids, "rid").withColumnRenamed("rid", "r"))
-    whole = F.broadcast(whole) if small else whole
+def _bytes(rows: DataFrame, need: DataFrame, length: int, level: int) -> DataFrame:
+    """(m, h1, h2, n, big, part): the bytes of the needed segments, each from one row that holds it."""
+    wanted = durable(need.groupBy("rid").agg(F.collect_list(F.struct("m", "h1", "h2", "big")).alias("list")))
+    ids = rows.groupBy("rid").agg(F.min("doc_id").alias("one")).withColumnRenamed("rid", "r")  # a copy for all
+    wanted = durable(ids.join(wanted, F.col("r") == F.col("rid")).drop("rid"))
+    wanted, _ = bounded(wanted, SMALL)
 
     def run(batches):
-        for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text, wanted in zip(b.column("text").to_pylist(), b.column("list").to_pylist(), strict=True):
-                data, left = text.encode(), {(x["m"], x["h1"], x["h2"]): x["c"] for x in wanted}
-                for m, s, n, _ in segments(data, length):
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+        for b in sliced(batches, ("data",)):
+            out: list[list] = [[] for _ in kinds]
+            for data, own in zip(b.column("data").to_pylist(), b.column("list").to_pylist(), strict=True):
+                left = {(x["m"], x["h1"], x["h2"]): x["big"] for x in own}
+                for m, s, n, _ in segments(data, length, level):
                     part = data[s : s + n + length - 1]
                     if (k := (m, *mark(part))) in left:
                         for c, v in zip(out, (*k, n, left.pop(k), part), strict=True):
                             c.append(v)
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["m", "h1", "h2", "n", "c", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["m", "h1", "h2", "n", "big", "part"])
 
-    rows = docs.join(whole, (docs["rid"] == whole["r"]) & docs["doc_id"].eqNullSafe(whole["one"]))
-    return rows.select("text", "list").mapInArrow(run, "m long, h1 long, h2 long, n long, c long, part binary")
+    met = rows.join(wanted, (rows["rid"] == wanted["r"]) & rows["doc_id"].eqNullSafe(wanted["one"]))
+    return met.select("data", "list").mapInArrow(run, "m long, h1 long, h2 long, n long, big boolean, part binary")
 
 
 _SPANS = "m long, h1 long, h2 long, spans array<struct<lo:int,hi:int>>"
@@ -192,69 +207,85 @@ _SPANS = "m long, h1 long, h2 long, spans array<struct<lo:int,hi:int>>"
 
 def _sorted_spans(parts: DataFrame, length: int) -> DataFrame:
     """Repeated windows of each segment, from the suffix arrays of whole keys, about CHUNK bytes at a time."""
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def solve(rows):
-        distinct = list({(m, h1, h2): (n, part) for m, h1, h2, n, part in rows}.items())
+        distinct = list(rows.items())
         found = repeats([p for _, (_, p) in distinct], [n for _, (n, _) in distinct], length)
         spans = [(k, runs(f)) for (k, _), f in zip(distinct, found, strict=True) if f.any()]
-        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in spans], pa.int64()) for i in range(3)), pa.array([[{"lo": a, "hi": b} for a, b in s] for _, s in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["m", "h1", "h2", "spans"])
+        ranges = pa.array([[{"lo": a, "hi": b} for a, b in s] for _, s in spans], kind)
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in spans], pa.int64()) for i in range(3)), ranges], ["m", "h1", "h2", "spans"])
 
     def run(batches):
-        held, size, key = [], 0, None
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("m", "h1", "h2", "n", "part")), strict=True):
-                if row[0] != key and size >= CHUNK:
+        held, size, key = {}, 0, None
+        for b in sliced(batches, ("part",)):
+            for m, h1, h2, n, part in zip(*(b.column(c).to_pylist() for c in ("m", "h1", "h2", "n", "part")), strict=True):
+                if m != key and size >= CHUNK:
                     yield solve(held)
-                    held, size = [], 0
-                key = row[0]
-                held.append(row)
-                size += len(row[4])
+                    held, size = {}, 0
+                key = m
+                if (m, h1, h2) not in held:
+                    held[m, h1, h2] = (n, part)
+                    size += len(part)
         if held:
             yield solve(held)
+        released()
 
     return parts.select("m", "h1", "h2", "n", "part").repartition("m").sortWithinPartitions("m").mapInArrow(run, _SPANS)
 
 
-def _counted_spans(parts: DataFrame, length: int) -> DataFrame:
-    """The same for keys of very many distinct segments, which no single task should hold: windows are counted by hash."""
+def _whole(sn: str = "sn") -> Column:
+    return F.expr(f"array(named_struct('lo', 0, 'hi', cast(shiftright({sn}, 1) & 8191 as int)))")
 
-    def run(batches):
-        for b in batches:
-            for m, h1, h2, n, part in zip(*(b.column(c).to_pylist() for c in ("m", "h1", "h2", "n", "part")), strict=True):
-                w = [mark(part[i : i + length]) for i in range(n)]
-                cols = [[m] * n, [h1] * n, [h2] * n, list(range(n)), [x for x, _ in w], [y for _, y in w]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["m", "h1", "h2", "i", "w1", "w2"])
 
-    rows = parts.mapInArrow(run, "m long, h1 long, h2 long, i long, w1 long, w2 long")
-    twice = rows.groupBy("w1", "w2").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    hit = rows.join(twice, ["w1", "w2"], "left_semi")
-    return hit.groupBy("m", "h1", "h2").agg(F.sort_array(F.collect_set(F.struct(F.col("i").cast("int").alias("lo"), (F.col("i") + 1).cast("int").alias("hi")))).alias("spans"))
+def repeated(rows: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """(rid, spans): ranges [lo, hi) of the windows that also start elsewhere, of rows (doc_id, rid, data).
+
+    Rows of one rid have equal data. On the last level a key's windows are equal, so all of a key
+    met twice repeat; before it, keys of over CHUNK bytes go on to the next level, and their
+    segments' ranges come back by the segments' ids.
+    """
+    place = durable(_places(rows.filter(F.octet_length("data") >= length), length, level))
+    keys = place.groupBy("m").agg(F.count("*").alias("k"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(F.col("sn").bitwiseAND(F.lit(1))).alias("twice"))
+    keys = keys.filter("k > 1 or twice = 1").select("m", F.expr("lo <> hi or twice = 1").alias("mixed"))
+    if level + 1 == len(GRAMS):
+        hit = place.join(keys.select("m"), "m").withColumn("spans", _whole())
+    else:
+        place = durable(place.join(keys, "m"))
+        kinds = place.groupBy("m", "h1", "h2").agg(F.count("*").alias("c"), F.min("rid").alias("rid"), F.max("mixed").alias("mixed"), F.max("sn").alias("sn"))
+        kinds = durable(kinds)
+        mixed = kinds.filter("mixed")
+        size = F.sum((F.shiftright("sn", 1).bitwiseAND(F.lit(8191))) + length - 1)
+        big = durable(mixed.groupBy("m").agg(size.alias("size")).filter(F.col("size") > CHUNK).select("m", F.lit(True).alias("big")))
+        crowded = big.limit(1).count() > 0
+        big, _ = bounded(big, SMALL)
+        mixed = mixed.join(big, "m", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+        parts = durable(_bytes(rows, mixed, length, level))
+        found = _sorted_spans(parts.filter("not big"), length)
+        if crowded:
+            own = parts.filter("big").select("m", "h1", "h2", F.xxhash64("m", "h1", "h2").alias("rid"), F.col("part").alias("data"))
+            own = durable(own.dropDuplicates(["m", "h1", "h2"]))
+            deeper = repeated(own.withColumn("doc_id", F.lit(0)), length, level + 1)
+            found = found.unionByName(own.select("m", "h1", "h2", "rid").join(deeper, "rid").select("m", "h1", "h2", "spans"))
+        found = durable(found).withColumnsRenamed({"m": "fm", "h1": "f1", "h2": "f2"})
+        hit = place.join(kinds.select("m", "h1", "h2", "c"), ["m", "h1", "h2"])
+        hit = hit.join(found, (F.col("m") == F.col("fm")) & (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
+        hit = hit.withColumn("spans", F.when(F.col("c") > 1, _whole()).otherwise(F.col("spans"))).filter("spans is not null")
+    moved = "transform(spans, x -> named_struct('lo', cast(shiftright(sn, 14) as int) + x.lo, 'hi', cast(shiftright(sn, 14) as int) + x.hi))"
+    hit = hit.select("rid", F.expr(moved).alias("spans"))
+    return durable(hit.distinct().groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def identified(docs: DataFrame, *more: str | Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("rid"), F.octet_length(text).alias("size"), *more)
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("rid"), *more)
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, size, spans): removed byte ranges [lo, hi), unmerged, of the texts that have any."""
-    rows = identified(docs)
-    place = durable(_places(rows.filter(F.col("size") >= length).select("rid", "text"), length))
-    keys = place.groupBy("m").agg(F.count("*").alias("k"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(F.col("sn").bitwiseAND(F.lit(1))).alias("twice"))
-    keys = keys.filter("k > 1 or twice = 1").select("m", (F.expr("lo <> hi or twice = 1")).alias("mixed"))
-    place = durable(place.join(keys, "m"))
-    kinds = durable(place.groupBy("m", "h1", "h2").agg(F.count("*").alias("c"), F.min("rid").alias("rid"), F.max("mixed").alias("mixed")))
-    mixed = kinds.filter("mixed")
-    crowds = durable(mixed.groupBy("m").count().filter(F.col("count") > CROWD).select("m"))
-    parts = durable(_bytes(rows, mixed, length))
-    found = _sorted_spans(parts.join(crowds, "m", "left_anti"), length).unionByName(_counted_spans(parts.join(crowds, "m", "left_semi"), length))
-    found = durable(found).withColumnsRenamed({"m": "fm", "h1": "f1", "h2": "f2"})
-    hit = place.join(kinds.select("m", "h1", "h2", "c"), ["m", "h1", "h2"])
-    hit = hit.join(found, (F.col("m") == F.col("fm")) & (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
-    whole = F.expr("array(named_struct('lo', 0, 'hi', cast(shiftright(sn, 1) & 8191 as int)))")
-    hit = hit.withColumn("spans", F.when(F.col("c") > 1, whole).otherwise(F.col("spans"))).filter("spans is not null")
-    hit = hit.select("rid", F.expr(f"transform(spans, x -> named_struct('lo', cast(shiftright(sn, 14) as int) + x.lo, 'hi', cast(shiftright(sn, 14) as int) + x.hi + {length - 1}))").alias("spans"))
-    return hit.distinct().groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    """(rid, spans): removed byte ranges [lo, hi), unmerged, of the texts that have any."""
+    rows = identified(docs).select("doc_id", "rid", F.col("text").cast("binary").alias("data"))
+    wide = F.expr(f"transform(spans, x -> named_struct('lo', x.lo, 'hi', x.hi + {length - 1}))")
+    return repeated(rows, length).select("rid", wide.alias("spans"))
 
 
 def removed(size: int, ranges) -> np.ndarray:
@@ -279,7 +310,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) ->
     rows = rows.join(ranges, rows["rid"] == ranges["r"], "left")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for text, ranges in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = text.encode()

@@ -83,6 +83,33 @@ def test_suffix_dedup(docs):
     assert sorted(got) == sorted(want) and sum(x[1] for x in want)
 
 
+@pytest.mark.parametrize("chunk", [0, 3000, 10**6])
+def test_suffix_dedup_crowded_keys(spark, monkeypatch, chunk):
+    """Keys with more bytes than one task sorts go on to longer strings; the result is the same on every level."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, passage, run = say(30), say(90), "z" * 200
+    texts = [say(r.randrange(60)) + r.choice([line, passage, passage[20:75], run[: r.randrange(200)]]) + say(r.randrange(60)) for _ in range(60)] + [None, "", run, line * 4]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[5]])], "doc_id long, text string")
+    length, data = 40, [(t or "").encode() for t in [*texts, texts[0], texts[5]]]
+    seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    got = {x["doc_id"]: x for x in suffix_dedup.dedup(docs, length).collect()}
+    for i, b in enumerate(data):
+        gone = {p for k in range(len(b) - length + 1) if seen[b[k : k + length]] > 1 for p in range(k, k + length)}
+        assert got[i]["kept"].encode() == bytes(x for p, x in enumerate(b) if p not in gone), i
+        assert got[i]["n_removed"] == len(gone) and got[i]["n_spans"] == sum(p - 1 not in gone for p in gone)
+
+
+def test_suffix_dedup_long_text_and_empty_table(spark, none):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdef") for _ in range(1000))
+    long = "".join(r.choice("abcdefgh\n é") for _ in range(1_500_000)) + passage + "x" * 300_000
+    got = {x["doc_id"]: x for x in suffix_dedup.dedup(spark.createDataFrame([(1, long), (2, "q" + passage)], "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 301_000 and got[2]["kept"] == "q" and got[1]["n_spans"] == 1
+    assert suffix_dedup.dedup(none).count() == 0
+
+
 @pytest.mark.parametrize("letters", ["ab", "a", "abc"])
 def test_two_stage(letters):
     parts = ["".join(R.choice(letters) for _ in range(n)).encode() for n in (60, 45, 80)]
