@@ -140,13 +140,57 @@ def test_token_counts(docs):
         assert r["n_tokens"] == len(t.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids)
 
 
-def test_fingerprints(docs, none):
-    rows = fingerprints.fingerprint_pairs(docs).collect()
-    assert len(rows) == docs.count() and fingerprints.fingerprint_pairs(none).count() == 0
-    same = {r["fingerprint"] for r in rows if r["doc_id"] in (0, 11, 12, None)}
-    assert len(same) == 1 and all(0 <= r["near_next"] <= 1 for r in rows)
-    a, b = fingerprints.sketch("x" * 9 + "abc" * 500), fingerprints.load(fingerprints.dump(fingerprints.sketch("abc" * 500)))
-    assert fingerprints.containment(b, fingerprints.merge(a, b)) == 1
+def _next(rows):
+    """Rows with the next one's text, by descending id, nulls last, equal ids by the text's md5."""
+    key = lambda r: hashlib.md5((r[1] or "").encode()).digest()
+    rows = sorted(sorted(rows, key=key), key=lambda r: (r[0] is None, -r[0] if isinstance(r[0], int) else 0))
+    return [(i, t or "", rows[(k + 1) % len(rows)][1] or "") for k, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("each", [1, 3, 20_000])
+def test_fingerprints(docs, none, each):
+    """Neighbours, edited texts and likenesses against plain Python, with buckets of one row and of all."""
+    rows = fingerprints.fingerprint_pairs(docs, each).collect()
+    want = []
+    for i, t, after in _next([tuple(r) for r in docs.select("doc_id", "text").collect()]):
+        k = len(t) // 3
+        e = t[: len(t) - k] + after[:k]
+        a, b, c = map(fingerprints.sketch, (t, e, after))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.dump(a), fingerprints.dump(b), fingerprints.jaccard(a, b), fingerprints.jaccard(a, c)))
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    assert fingerprints.fingerprint_pairs(none, each).count() == 0
+    assert len({r["fingerprint"] for r in rows if r["doc_id"] in (0, 11, 12, None)}) == 1
+
+
+def test_fingerprints_of_text_ids_and_null_ids(spark):
+    ids = ["b", "a", "c", None, "aa", "a", None]
+    docs = spark.createDataFrame([(i, f"text {k} " * 9) for k, i in enumerate(ids)], "doc_id string, text string")
+    got = {(r["doc_id"], r["fingerprint"]) for r in fingerprints.fingerprint_pairs(docs, 2).collect()}
+    assert len(got) == 7 and fingerprints.fingerprint_pairs(docs.limit(1), 2).head()["near_next"] == 1
+    empty = spark.createDataFrame([(None, None), (None, ""), (None, "x")], "doc_id long, text string")
+    assert sorted(r["near_next"] for r in fingerprints.fingerprint_pairs(empty, 1).collect()) in ([0, 0, 1], [0, 1, 1])
+
+
+def test_sketches():
+    """Estimates against whole shingle sets, for texts of all lengths; strings of sketches come back the same."""
+    r = random.Random(2)
+    say = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    sets = lambda t: {t[i : i + 9] for i in range(max(1, len(t) - 8))}
+    off = []
+    for n in (20, 100, 200, 800, 2000, 9000, 9000):
+        common, a, b = say(n), say(n // 3), say(n // 2)
+        x, y = common + a, common + b
+        sx, sy = fingerprints.sketch(x), fingerprints.load(fingerprints.dump(fingerprints.sketch(y)))
+        off.append(abs(fingerprints.jaccard(sx, sy) - len(sets(x) & sets(y)) / len(sets(x) | sets(y))))
+        assert fingerprints.dump(sy) == fingerprints.dump(fingerprints.sketch(y)) and fingerprints.containment(sx, fingerprints.merge(sx, sy)) == 1
+        assert len(fingerprints.dump(sx)) < 1400 + 0.4 * len(x)
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.06
+    long = say(300_000)
+    assert abs(fingerprints.containment(fingerprints.sketch(long[5000:7000] + say(2000)), fingerprints.sketch(long)) - 0.5) < 0.15
+    assert fingerprints.jaccard(fingerprints.sketch("a" * 5000), fingerprints.sketch("b" * 5000)) == 0
+    assert fingerprints.jaccard(fingerprints.sketch(""), fingerprints.sketch("")) == 1 and fingerprints.jaccard(fingerprints.sketch(""), fingerprints.sketch("a")) == 0
+    big = fingerprints.sketch("xyz " * 3_000_000)
+    assert big.scale == 1 and len(big.hashes) == 4
 
 
 def test_mixing(docs, none):
