@@ -122,14 +122,27 @@ def held(found: DataFrame, whole: DataFrame, on: list[str]) -> DataFrame:
     return found.join(bounded(whole, SMALL)[0], on).select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("ids"))
 
 
+def checked(rows: DataFrame, places: DataFrame, columns: list[Column]) -> DataFrame:
+    """key and the columns, from the words and the places (k, c, p) of each distinct text that has any.
+
+    Only texts with places are shuffled, each distinct one once, whatever the number of its copies.
+    """
+    places = durable(places)
+    few, _ = bounded(places.select("k"), PLACES)
+    met = rows.withColumn("k", F.xxhash64("key")).join(few, "k", "left_semi")
+    one = met.groupBy("key").agg(F.first("k").alias("k"), F.first("words").alias("words"))
+    return one.join(bounded(places, PLACES)[0], "k").select("key", *columns)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
     """doc_id, key (the text's content key), n_words, n_hit, n_items, items_sha256, contaminated of every row.
 
     A document word in any exact occurrence of an item's window of size words is hit. With slop,
     n_near and near_sha256 tell the items that proximity() finds, too. Null texts have no words,
     items without words or id none to find; an item of fewer words is one window. Repeated rows and
-    null document ids keep a row each; further columns are ignored. Words are shuffled once, by
-    content; an item's or a passage's frequency only adds rows for the documents that hold it.
+    null document ids keep a row each; further columns are ignored. Words leave their rows only
+    for texts in which the lists meet; an item's or a passage's frequency only adds rows for the
+    documents that hold it.
     """
     wins = durable(windows(items, size))
     rows = tokenized(docs)
@@ -142,22 +155,24 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10, slop: int |
     places = candidates(lists[0], index).groupBy("k").agg(F.collect_set(F.struct("start", "w")).alias("c"))
     if slop is not None:
         places = places.join(gathered(nearby(lists[1], whole, index)), "k", "full")
-    checked = rows.withColumns({"k": F.xxhash64("key"), "n_words": F.size("words").cast("long")}).join(places, "k", "left")
     exact = F.expr("filter(c, x -> array_join(slice(words, x.start + 1, size(split(x.w, ' '))), ' ') = x.w)")
-    checked = checked.select("doc_id", "key", "n_words", exact.alias("c"), *([] if slop is None else [about().alias("p")]))
+    found = checked(rows, places, [exact.alias("c"), *([] if slop is None else [about().alias("p")])])
     hit = F.expr("size(array_distinct(flatten(transform(c, x -> sequence(x.start, x.start + size(split(x.w, ' ')) - 1)))))")
     near = [] if slop is None else [F.expr("array_distinct(transform(p, x -> struct(array_join(x.terms, ' ') AS w, x.span AS span)))").alias("ps")]
-    checked = durable(checked.select("doc_id", "key", "n_words", F.when(F.size("c") > 0, hit).otherwise(0).cast("long").alias("n_hit"), F.when(F.size("c") > 0, F.array_distinct(F.col("c.w"))).alias("ws"), *near))
-    none = F.array().cast("array<string>")
-    ids = F.coalesce("ids", none)
-    told = lambda n, sha: [F.size(ids).cast("long").alias(n), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias(sha)]
-    own = held(checked.filter("n_hit > 0").dropDuplicates(["key"]).select("key", F.explode("ws").alias("w")), wins, ["w"])
-    out = checked.join(own, "key", "left")
-    columns = ["doc_id", "key", "n_words", "n_hit", *told("n_items", "items_sha256"), (F.col("n_hit") > 0).alias("contaminated")]
-    if slop is None:
-        return out.select(columns)
-    own = held(checked.filter("size(ps) > 0").dropDuplicates(["key"]).select("key", F.inline("ps")), whole, ["w", "span"])
-    return out.select(columns).join(own, "key", "left").select("doc_id", "key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *told("n_near", "near_sha256"))
+    found = durable(found.select("key", F.when(F.size("c") > 0, hit).otherwise(0).cast("long").alias("n_hit"), F.when(F.size("c") > 0, F.array_distinct(F.col("c.w"))).alias("ws"), *near))
+    told = lambda ids, n, sha: [F.size(ids).cast("long").alias(n), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias(sha)]
+    facts = found.filter("n_hit > 0").select("key", "n_hit")
+    facts = facts.join(held(found.filter("n_hit > 0").select("key", F.explode("ws").alias("w")), wins, ["w"]), "key")
+    facts = facts.select("key", "n_hit", *told("ids", "n_items", "items_sha256"))
+    if slop is not None:
+        own = held(found.filter("size(ps) > 0").select("key", F.inline("ps")), whole, ["w", "span"])
+        facts = facts.join(own.select("key", *told("ids", "n_near", "near_sha256")), "key", "full")
+    facts, _ = bounded(durable(facts.withColumnRenamed("key", "of")), PLACES)
+    out = rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words")).join(facts, F.col("key") == F.col("of"), "left")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    columns = ["doc_id", "key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", empty).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")]
+    return out.select(*columns, *([] if slop is None else [zero("n_near"), F.coalesce("near_sha256", empty).alias("near_sha256")]))
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
@@ -169,6 +184,7 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
     rows = tokenized(docs)
     rare = durable(rarest(frequencies(rows, whole), whole, LISTS))
     near = gathered(nearby(rare, whole, durable(postings(rows, listed(rare)))))
-    found = rows.withColumn("k", F.xxhash64("key")).join(near, "k").select("doc_id", F.explode(about()).alias("x"))
-    found = found.select("doc_id", F.array_join("x.terms", " ").alias("w"), F.col("x.span").alias("span")).distinct()
+    found = checked(rows, near, [about().alias("p")]).select("key", F.explode("p").alias("x"))
+    found = found.select("key", F.array_join("x.terms", " ").alias("w"), F.col("x.span").alias("span")).distinct()
+    found = rows.select("doc_id", "key").join(bounded(durable(found), PLACES)[0], "key").drop("key").distinct()
     return found.join(bounded(whole, SMALL)[0], ["w", "span"]).select("doc_id", F.col("item").alias("item_id")).distinct()
