@@ -183,7 +183,6 @@ def _bytes(rows: DataFrame, need: DataFrame, length: int, level: int) -> DataFra
     wanted = durable(need.groupBy("rid").agg(F.collect_list(F.struct("m", "h1", "h2", "big")).alias("list")))
     ids = rows.groupBy("rid").agg(F.min("doc_id").alias("one")).withColumnRenamed("rid", "r")  # a copy for all
     wanted = durable(ids.join(wanted, F.col("r") == F.col("rid")).drop("rid"))
-    wanted, _ = bounded(wanted, SMALL)
 
     def run(batches):
         kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
