@@ -111,7 +111,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
-def bucketed(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
+def bucketed(docs: DataFrame, rows_each: int = 4_000) -> DataFrame:
     """doc_id, text, key and bucket: buckets ascend as ids descend and have about rows_each rows.
 
     Numeric ids are cut at up to 1,000 approximate quantiles and each range evenly; other ids by the
@@ -143,7 +143,7 @@ def bucketed(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
     return rows.withColumn("bucket", F.coalesce(own, 2**62 + F.floor(first * nulls).cast("long")))
 
 
-def with_heads(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
+def with_heads(docs: DataFrame, rows_each: int = 4_000) -> DataFrame:
     """The rows of bucketed(), and for each bucket a row of flag 1: the first row of the next bucket that has any.
 
     The order is by descending id (nulls last), then by the text's key; the last bucket's next is the first.
@@ -160,7 +160,7 @@ def with_heads(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
     return rows.withColumn("flag", F.lit(0)).unionByName(heads)
 
 
-def fingerprint_pairs(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
+def fingerprint_pairs(docs: DataFrame, rows_each: int = 4_000) -> DataFrame:
     """Each row's text, its edited text and the next document as sketches, with their likeness.
 
     Null texts count as empty, and the empty text has the empty fingerprint. Rows of equal id are
