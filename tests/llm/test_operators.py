@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -227,9 +230,52 @@ def test_quality_and_urls(spark, docs, none):
     assert out[0] == ("a.com", "/en/x", "com/en/", "block") and out[1][2:] == ("example.com/en/7", "allow") and out[2][:3] == ("", "", None) and out[5][2:] == ("net/de/", "allow") and out[6][3] == "block"
 
 
-def test_lm(docs, none):
+def test_lm_edges(docs, none):
     rows = lm_scoring.scores(docs).collect()
     assert len(rows) == docs.count() and all(r["score"] < 0 for r in rows) and lm_scoring.scores(none).count() == 0
-    w, flat = lm_scoring.initial(), np.array([5, 6, 7, 0, 5, 5, 0] * 200, np.int16)
+    untaught = lm_scoring.scores(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")).collect()
+    assert untaught and all(r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] < 0 for r in untaught)
+
+
+def _two_tongues(n):
+    r = random.Random(12)
+    tongues = [[f"{x}{i}" for i in range(400)] for x in "pq"]
+    texts = [" ".join(r.choices(tongues[i % 2], [1 / (k + 1) for k in range(400)], k=r.randrange(20, 80))) for i in range(n)]
+    return [*texts, None, "", "never-seen " * 3, "P1 p1\tP1"]
+
+
+def test_lm_against_plain_counts_and_above_them(spark):
+    """Base scores equal plain Python; the network knows a document's language, so held-out texts score well above the base."""
+    texts = _two_tongues(1500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lm_scoring.scores(docs).collect()
+    words = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), ""] for i, t in enumerate(texts)}
+    held = {i for i in words if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = collections.Counter(w for i, ws in words.items() if i not in held for w in ws)
+    total, distinct = sum(c.values()), len(c)
+    assert {r["doc_id"] for r in rows if r["held_out"]} == held and len(rows) == len(texts)
+    for r in rows:
+        ws = words[r["doc_id"]]
+        assert r["n_tokens"] == len(ws) and r["n_known"] == sum(c[w] > 0 for w in ws) and r["train_tokens"] == total
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in ws), rel=1e-9)
+    aside = [r for r in rows if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in aside) / sum(r["n_tokens"] for r in aside)
+    assert gain > 0.1, gain
+    again = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs.repartition(7)).collect()}
+    assert all(again[r["doc_id"]] == pytest.approx(r["score"], abs=1e-3) for r in rows)  # neither files nor tasks matter
+
+
+def test_lm_is_a_distribution():
+    found = [(b"a", 5, 0), (b"b", 4, 1), (b"c", 2, 0)] + [(f"t{i}".encode(), 1, 1) for i in range(2000)]
+    v = lm_scoring.Vocabulary(found, 7, 9)
+    w = lm_scoring.initial(v.mass)
+    used = np.flatnonzero(v.mass)
+    first = [10 ** lm_scoring.likelihood(w, np.array([s], np.uint16), np.array([1]))[0] for s in used]
+    assert abs(sum(first) - 1) < 1e-3  # each used symbol alone, from the same state
+    for s in np.unique(v.symbol[:-1]):
+        own = v.drawn[:-1][v.symbol[:-1] == s]
+        assert abs((10**own).sum() - 1) < 1e-9  # a symbol's words share all of it
+    flat = np.array([5, 6, 7, 0, 5, 5, 0] * 200, np.uint16)
+    w = lm_scoring.initial()
     before = lm_scoring.likelihood(w, flat[:7], np.array([4, 3])).sum()
     assert lm_scoring.likelihood(lm_scoring.train(w, flat), flat[:7], np.array([4, 3])).sum() > before
