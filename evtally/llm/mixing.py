@@ -34,15 +34,20 @@ def targets(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def duel(rows: DataFrame, by: list[str], step: int) -> DataFrame:
-    """Pivotal rounding within each group, in order of size: rows whose mass is 0 or all their words, one a group still open.
+    """Pivotal rounding within each group, longest rows first: rows whose mass is 0 or all their words, one a group still open.
+
+    Long rows are so decided while there are shorter ones to take up or give their mass, and what
+    stays open is a short row.
 
     The mass of a row is its copy probability times its words. Of two open rows, mass goes to the
     one or the other, with the odds that keep both expectations, until one of them is integral;
     the other goes on. Their sum stays, so a group's words stay. Draws hash the rows' ids, so
-    reruns agree.
+    reruns agree. A source's last group (column last) keeps none open: its open row goes to the
+    nearer end, and then, longest rows first, a row is taken or left after all wherever that
+    brings the words nearer to the target.
     """
-    fields = ["size", "h", "mass", "doc_id", "source", "source_size", "target", "whole", "cls"]
-    group = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("a"))
+    fields = ["size", "h", "mass", "doc_id", "source", "source_size", "target", "whole"]
+    group = rows.groupBy(*by).agg(F.first("last").alias("last"), F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("a"))
     kind = group.schema["a"].dataType.elementType.simpleString()
     put = lambda x, m: "named_struct(" + ", ".join(f"'{c}', {m if c == 'mass' else f'{x}.{c}'}" for c in fields) + ")"
     end = lambda shut, m, goes, left: f"named_struct('out', concat(v.out, array({put(shut, m)})), 'cur', {put(goes, left)})"
@@ -54,42 +59,44 @@ def duel(rows: DataFrame, by: list[str], step: int) -> DataFrame:
     merge = f"if({u} * ({to_a} + {to_x}) < {to_x}, {gains}, {gives})"
     start = f"named_struct('out', cast(array() as array<{kind}>), 'cur', a[0])"
     folded = f"aggregate(slice(a, 2, size(a)), {start}, (v, x) -> {merge}, v -> concat(transform(v.out, y -> named_struct('row', y, 'open', false)), array(named_struct('row', v.cur, 'open', true))))"
-    return group.select(F.explode(F.expr(folded)).alias("e")).select("e.row.*", "e.open")
+    end_of = "if(y.row.mass * 2 > y.row.size, cast(y.row.size as double), 0D)"
+    off = f"aggregate(f, 0D, (s, y) -> s + if(y.open, {end_of} - y.row.mass, 0D))"
+    shut = f"sort_array(transform(f, y -> {put('y.row', f'if(y.open, {end_of}, y.row.mass)')}), false)"
+    turn, turned = "if(x.mass > 0, -x.size, x.size)", put("x", "if(x.mass > 0, 0D, cast(x.size as double))")
+    nearer = f"if(abs(v.off + {turn}) < abs(v.off), named_struct('off', v.off + {turn}, 'out', concat(v.out, array({turned}))), named_struct('off', v.off, 'out', concat(v.out, array(x))))"
+    settled = f"aggregate({shut}, named_struct('off', {off}, 'out', cast(array() as array<{kind}>)), (v, x) -> {nearer}, v -> transform(v.out, y -> named_struct('row', y, 'open', false)))"
+    done = group.select("last", F.expr(folded).alias("f")).select(F.expr(f"if(last, {settled}, f)").alias("f"))
+    return done.select(F.explode("f").alias("e")).select("e.row.*", "e.open")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target and taken (words with repeats) of every row.
 
     Each row is copied floor(f) times, f its source's target over its size, and once more as
-    pivotal rounding decides: rows of a source and of like size are rounded in blocks of about
-    BLOCK, what stays open meets in ever wider blocks, a source's last open row goes to the nearer end. A
-    source's taken words so differ from its target by at most half of that one row's words. Rows
-    with null source are a source of their own, null and empty texts have size 0 and nothing
-    taken; repeated rows are rounded each; further columns are ignored. With no words at all,
-    targets are 0.
+    pivotal rounding decides: a source's rows are dealt into blocks of about BLOCK by hash, in each
+    block all but one are decided, and those left open meet in blocks again, up to a source's last
+    block, which settles all. A source's taken words so differ from its target by about a short
+    row's words at most, unless it has but few or very uneven rows. Rows with null source are a source of their own, null
+    and empty texts have size 0 and nothing taken; repeated rows are rounded each; further columns
+    are ignored. With no words at all, targets are 0.
     """
     rows = durable(sized(docs))
     goal, _ = bounded(targets(rows, weights, most).withColumnRenamed("source", "src"), 10_000)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("f", share)
-    rows = rows.withColumns({"whole": F.floor(F.col("f") + 1e-12), "cls": F.floor(F.log2(F.col("size") + 1.0) * 8)})
+    rows = rows.withColumn("whole", F.floor(F.col("f") + 1e-12))
     rows = rows.withColumn("mass", F.greatest(F.col("f") - F.col("whole"), F.lit(0.0)) * F.col("size")).drop("f")
     idle = F.col("mass") <= 0
     done, live = [rows.filter(idle)], rows.filter(~idle)
-    step, shift = 0, 0
-    while shift <= 9:
-        n = durable(live.withColumn("wide", F.shiftright("cls", shift)).groupBy(F.col("source").alias("src"), F.col("wide").alias("wd")).count())
-        largest = n.agg(F.max("count")).head()[0] or 0
-        n, _ = bounded(n, 10_000)
-        dealt = live.withColumn("wide", F.shiftright("cls", shift)).join(n, F.col("source").eqNullSafe(F.col("src")) & (F.col("wide") == F.col("wd")))
+    step = 0
+    while live.limit(1).count():  # a source's open rows get fewer by a factor of BLOCK each time
+        n, _ = bounded(durable(live.groupBy(F.col("source").alias("src")).count()), 10_000)
+        dealt = live.join(n, F.col("source").eqNullSafe(F.col("src"))).withColumn("last", F.col("count") <= BLOCK)
         dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("h", F.lit(step)), F.ceil(F.col("count") / BLOCK)))
-        out = durable(duel(dealt, ["source", "wide", "blk"], step))
+        out = durable(duel(dealt, ["source", "blk"], step))
         done.append(out.filter("not open").drop("open"))
         live = out.filter("open").drop("open")
         step += 1
-        shift += 3 * (largest <= BLOCK)
-    drawn = F.col("mass") * 2 > F.col("size")
-    done.append(live.withColumn("mass", F.when(drawn, F.col("size").cast("double")).otherwise(0.0)))
     cols = ["doc_id", "size", "source_size", "target", "whole", "mass"]
     every = done[0].select(cols)
     for x in done[1:]:
