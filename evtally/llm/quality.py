@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import durable, remainder, sliced
 
-#: The most labelled rows that a model learns from, and what it learns.
+#: About the most labelled ids that a model learns from, and what it learns.
 SAMPLE, BINS, PAIR_BINS, PAIRS, ROUNDS, RATE = 20_000, 32, 8, 6, 120, 0.15
 FEATURES = ("words", "word_len", "upper", "digit", "mark", "pipe", "bang", "symbol", "distinct", "commonest", "run", "lines", "twice", "line_len", "wide", "tail", "bad_lines", "short_words")
 _SYMBOL, _TAIL = re.compile(r"[#$%&*@^~=<>]"), re.compile(r"[^\w\s.,;:'\"!?)\]-]{2,}(?=\s|$)|!!(?=\s|$)")
@@ -106,21 +106,28 @@ class Gam:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
-    """Learn from at most sample labelled ids (those of smallest hash) outside the held-out fold.
+    """Learn from labelled ids outside the held-out fold: all of them, or about sample, those of smallest hash.
 
-    Null labels and ids teach nothing; an id labelled twice counts with its mean. With no row of
-    its kind to learn from, the model gives one half, or the only label's smoothed share.
+    Null labels and ids teach nothing; an id labelled twice counts with its mean, an id with several
+    rows once, with the least features. With no row of its kind to learn from, the model gives one
+    half, or the only label's smoothed share.
     """
     known = labels.filter("doc_id is not null and quality is not null").filter(remainder(F.col("doc_id"), 5) != 0)
-    known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    known = durable(known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")))
+    n = known.count()
+    if n > sample:
+        known = known.filter(F.xxhash64("doc_id") < int((2 * sample / n - 1) * 2.0**63))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], ["x", "y"])
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], ["doc_id", "x", "y"])
 
-    got = rows.mapInArrow(run, "x array<double>, y double").orderBy("x", "y").limit(2 * sample).toPandas()
-    return Gam(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float)) if len(got) else Gam(np.zeros((1, len(FEATURES))), np.array([0.5]))
+    got = rows.mapInArrow(run, f"doc_id {kind}, x array<double>, y double").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("r.x", "r.y").collect()
+    got = sorted((tuple(r["x"]), r["y"]) for r in got)
+    x = np.array([x for x, _ in got], float).reshape(-1, len(FEATURES))
+    return Gam(x, np.array([y for _, y in got])) if got else Gam(np.zeros((1, len(FEATURES))), np.array([0.5]))
 
 
 def classify(docs: DataFrame, model: Gam, cut: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -132,7 +139,7 @@ def classify(docs: DataFrame, model: Gam, cut: float = 0.3, keep: tuple[str, ...
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
             own = [b.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(model.value.score(x))], ["doc_id", *keep, "score"])
