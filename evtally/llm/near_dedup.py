@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, by_bytes, content_key, durable
+from .common import bounded, by_bytes, content_key, durable, sliced
 from .components import components
 
 #: Registers of a sketch in bands; base and rate of the exponentially spaced truncated minima.
@@ -98,15 +98,14 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key (of the text), node (of the set; null if it is empty), n and registers of every row."""
 
     def run(batches):
-        for b in batches:
-            for c in by_bytes(b):
-                sets = shingle_sets(c.column("text").to_pylist(), width)
-                full = [s for s in sets if len(s)]
-                regs = iter(registers(full))
-                with np.errstate(over="ignore"):
-                    node = [int(mix(mix(s + _R).sum(keepdims=True) + mix(s).sum() * _R).view(np.int64)[0]) if len(s) else None for s in sets]
-                blobs = [next(regs).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("key"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "key", "node", "n", "regs"])
+        for c in sliced(batches):
+            sets = shingle_sets(c.column("text").to_pylist(), width)
+            full = [s for s in sets if len(s)]
+            regs = iter(registers(full))
+            with np.errstate(over="ignore"):
+                node = [int(mix(mix(s + _R).sum(keepdims=True) + mix(s).sum() * _R).view(np.int64)[0]) if len(s) else None for s in sets]
+            blobs = [next(regs).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("key"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "key", "node", "n", "regs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -256,6 +255,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Empty and null texts are linked with nothing; repeated rows share a component; a null id is
     never the smallest and is kept where its component has no other id; further columns are ignored.
     """
+    if percent < 80:
+        raise ValueError("bands, hopes and size limits are laid out for a likeness of 80 % or more")
     rows = durable(sketched(docs, width))
     nodes = durable(rows.filter("node is not null").groupBy("node").agg(F.min_by(F.struct("doc_id", "key", "n", "regs"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select("node", "x.*"))
     band = durable(buckets(nodes))

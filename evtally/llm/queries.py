@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from .common import table
 from . import decontaminate, fingerprints, licenses, lm_scoring, mixing, near_dedup, quality, suffix_dedup, token_counts, url_filter
 
 
 def tokenizer_file() -> str:
-    if path := os.environ.get("EVTALLY_TOKENIZER"):
-        return path
+    """The vocabulary that op7 counts by; count_tokens() takes any other path."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: The byte-level pre-tokeniser's pattern with white space by its Unicode property (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CACHE_ENTRIES = 1 << 20
@@ -26,6 +29,19 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def understood(j: dict) -> None:
+    """Raise an error for any setting of the file under which this counter would count otherwise than its library."""
+    model, split = j["model"], j.get("pre_tokenizer") or {}
+    fits = {
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "normalizer": j.get("normalizer") is None,
+        "pre_tokenizer": split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True),
+        "added_tokens": not any(t.get(k) for t in j.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip")),
+    }
+    if bad := [k for k, fine in fits.items() if not fine]:
+        raise ValueError(f"not a plain byte-level byte-pair file: {', '.join(bad)}")
+
+
 class Counter(dict):
     """Tokens of one pre-token, remembered for as many as CACHE_ENTRIES of them."""
 
@@ -33,6 +49,7 @@ class Counter(dict):
         import regex
 
         j = json.loads(spec)
+        understood(j)
         vocab, symbols = j["model"]["vocab"], byte_symbols()
         self.first = [vocab.get(s, -1) for s in symbols]
         self.pairs = {}
@@ -51,25 +68,28 @@ class Counter(dict):
 
     def merged(self, data: bytes) -> int:
         """Initial symbols minus merges: pop the lowest-ranked adjacent pair, the leftmost first."""
-        ids = [self.first[b] for b in data]
-        n = count = len(ids)
-        after, before, pairs = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs
-        heap = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := pairs.get((ids[i], ids[i + 1])))]
+        pairs, n = self.pairs, len(data)
+        pack = list if n < 1024 else lambda x: array("i", x)  # a long run of letters is one piece
+        ids, after, before = pack(map(self.first.__getitem__, data)), pack(range(1, n + 1)), pack(range(-1, n - 1))
+        heap = [p[0] << 32 | i for i in range(n - 1) if (p := pairs.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
+        count = n
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n or not (p := pairs.get((ids[i], ids[j]))) or p[0] != top >> 32:
                 continue  # one of the two was merged meanwhile
-            ids[i], ids[j], k = new, -2, after[j]
+            new = ids[i] = p[1]
+            ids[j], k = -2, after[j]
             after[i] = k
             count -= 1
             if k < n:
                 before[k] = i
                 if p := pairs.get((new, ids[k])):
-                    heapq.heappush(heap, (p[0], i, new, ids[k], p[1]))
+                    heapq.heappush(heap, p[0] << 32 | i)
             if (h := before[i]) >= 0 and (p := pairs.get((ids[h], new))):
-                heapq.heappush(heap, (p[0], h, ids[h], new, p[1]))
+                heapq.heappush(heap, p[0] << 32 | h)
         return count
 
     def tokens(self, text: str) -> int:
@@ -86,7 +106,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     further columns are ignored. Rows need no shuffle and are scored in Arrow batches.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        text = f.read()
+    understood(json.loads(text))
+    spec = docs.sparkSession.sparkContext.broadcast(text)
     key = hash(spec.value)
 
     def count(batches):
@@ -94,7 +116,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
             _LOADED.clear()
             _LOADED[key] = Counter(spec.value)
         of = _LOADED[key].tokens
-        for b in batches:
+        for b in sliced(batches):
             n = [of(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

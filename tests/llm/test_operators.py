@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evtally.llm import decontaminate, fingerprints, licenses, lm_scoring, mixing, near_dedup, quality, suffix_dedup, token_counts, url_filter
 from evtally.llm.queries import tokenizer_file
@@ -129,6 +131,28 @@ def test_near_dedup(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_recall_at_the_threshold(spark):
+    """Pairs of likeness 0.80 to 0.83 and just below, against brute force: every link is found, none is made up."""
+    r = random.Random(21)
+    rows = []
+    for i in range(120):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 300))]
+        other = list(words)
+        while True:
+            sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (words, other)]
+            likeness = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+            if likeness < 0.84:
+                break
+            other[r.randrange(len(other))] = "changed"
+        rows += [(2 * i, " ".join(words), likeness), (2 * i + 1, " ".join(other), likeness)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), 4).collect()}
+    linked = [i for i, _, likeness in rows if i % 2 and likeness >= 0.8]
+    assert len(linked) > 60 and all(got[i] == i - 1 for i in linked)
+    assert all(got[i] == i for i, _, likeness in rows if likeness < 0.8)
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 4, 70)
+
+
 def test_register_likelihood():
     a = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x, y = near_dedup.registers([near_dedup.mix(a[:1800]), near_dedup.mix(a[200:])])
@@ -136,11 +160,21 @@ def test_register_likelihood():
     assert abs(est[0] - 0.8) < 0.12
 
 
-def test_token_counts(docs):
+def test_token_counts(docs, none, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(tokenizer_file())
     for r in token_counts.count_tokens(docs, tokenizer_file()).filter("doc_id is not null").collect():
-        assert r["n_tokens"] == len(t.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids)
+        text = TEXTS[r["doc_id"]] or ""
+        n = len(t.encode(text, add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 512)
+    assert token_counts.count_tokens(none, tokenizer_file()).count() == 0
+    spec = json.loads(open(tokenizer_file(), encoding="utf-8").read())
+    counter = token_counts.Counter(json.dumps(spec))
+    for text in ("ab" * 30_000, "a" * 20_000, "<|endoftext|>x <|endoftext|>", " \u00a0\t x\n\n y's 12é", "abcdefgh" * 200):
+        assert counter.tokens(text) == len(t.encode(text, add_special_tokens=False).ids)
+    for part, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", spec["model"] | {"byte_fallback": True})):
+        with pytest.raises(ValueError, match=part):
+            token_counts.understood(spec | {part: value})
 
 
 def _next(rows):
@@ -203,6 +237,38 @@ def test_mixing(docs, none):
     assert sorted(rows, key=str) == sorted(mixing.mix(docs.repartition(3)).collect(), key=str) and mixing.mix(none).count() == 0
 
 
+def test_mixing_targets(spark):
+    """Targets are the fixed point of cutting and resharing; taken words come near them; copies are whole."""
+    r = random.Random(6)
+    rows, sizes = [], collections.defaultdict(int)
+    for i in range(3000):
+        source = [None, "a", "b", "c", "d", "tiny"][min(5, i % 5 + (i % 300 == 0) * 5)]
+        n = int(r.paretovariate(1.1)) % 400
+        rows.append((i, "x " * n, source))
+        sizes[source] += n
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), float(sum(sizes.values()))
+    while open_:
+        whole = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / whole > 3 * sizes[s]}
+        if not full:
+            target |= {s: left * weight[s] / whole for s in open_}
+            break
+        target |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(3 * sizes[s] for s in full)
+        open_ -= full
+    name = {i: s for i, _, s in rows}
+    taken = collections.defaultdict(int)
+    for x in got:
+        s = name[x["doc_id"]]
+        taken[s] += x["taken"]
+        assert x["target"] == pytest.approx(target[s]) and x["source_size"] == sizes[s] and x["taken"] <= 3 * x["size"]
+        assert x["size"] == 0 or x["taken"] % x["size"] == 0
+    assert "tiny" in sizes and all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 20 for s in sizes), (dict(taken), target)
+
+
 def test_licenses(docs, none):
     assert [r[:2] for r in licenses.scan(docs).collect()] == [(9, "MIT")] and licenses.scan(none).count() == 0 and licenses.scan(docs, {}).count() == 0
 
@@ -230,6 +296,79 @@ def test_quality_and_urls(spark, docs, none):
     assert out[0] == ("a.com", "/en/x", "com/en/", "block") and out[1][2:] == ("example.com/en/7", "allow") and out[2][:3] == ("", "", None) and out[5][2:] == ("net/de/", "allow") and out[6][3] == "block"
 
 
+def test_quality_held_out(spark):
+    """Held-out accuracy; neither the held-out labels nor the rows' order change the model; a sample is bounded."""
+    r = random.Random(3)
+    good = lambda: " ".join(SAY(r.randrange(6, 14)).capitalize() + "." for _ in range(r.randrange(3, 9)))
+    junk = lambda: " | ".join(SAY(2) for _ in range(r.randrange(10, 60))) + " !!" * r.randrange(9)
+    rows = [(i, junk() if i % 3 == 0 else good(), int(i % 3 != 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    turned = spark.createDataFrame([(i, 1 - y if i in held else y) for i, _, y in rows], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality.classify(docs, quality.fit(docs, labels)).collect()}
+    same = {x["doc_id"]: x["score"] for x in quality.classify(docs.repartition(5), quality.fit(docs.repartition(3), turned)).collect()}
+    assert {i for i, x in got.items() if x["held_out"]} == held
+    assert sum(got[i]["predicted"] == y for i, _, y in rows if i in held) >= 0.95 * len(held)
+    assert all(same[i] == pytest.approx(x["score"]) for i, x in got.items())
+    few = quality.fit(docs, labels, 100)
+    assert sum(x["predicted"] == rows[x["doc_id"]][2] for x in quality.classify(docs, few).collect()) >= 0.9 * len(rows)
+
+
+def test_quality_tables_add_up():
+    """A score is the logistic of the sum of the tables' cells, looked up one by one."""
+    g = np.random.default_rng(1)
+    x = g.normal(size=(500, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    m = quality.Gam(x, y)
+    for row, score in zip(x[:50], m.score(x[:50]), strict=True):
+        z = m.base + sum(m.one[f][sum(e <= row[f] for e in m.edges[f])] for f in range(4))
+        z += sum(t[sum(e <= row[a] for e in m.coarse[a]) * quality.PAIR_BINS + sum(e <= row[b] for e in m.coarse[b])] for (a, b), t in zip(m.pairs, m.two, strict=True))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+    assert ((m.score(x) > 0.5) == (y > 0.5)).mean() > 0.85  # an interaction that single tables cannot learn
+
+
+def test_url_models(spark, none):
+    """Scores against a plain Markov model with dictionaries; clashing columns and repeated rows; the empty table."""
+    r = random.Random(7)
+    word = lambda s: "".join(r.choice(s) for _ in range(r.randrange(4, 12)))
+    rows = [(i, f"http://{word('abc')}.{'net/de/' + word('qrs') if i % 2 else 'org/es/' + word('xyz')}") for i in range(300)]
+    rows += [(1000 + i, f"http://{word('abc')}.test/{word('qrs' if i % 2 else 'xyz')}") for i in range(60)] + [rows[0], (None, rows[1][1])]
+    pages = spark.createDataFrame([(i, u, "c", "x", 0) for i, u in rows], "page_id long, url string, host string, rule string, label int")
+    got = url_filter.judge(pages).collect()
+    assert len(got) == len(rows)
+    apart = pages.select("url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("aside")).distinct().collect()
+    aside = {x["url"] for x in apart if x["aside"]}
+    table = [collections.Counter(), collections.Counter()]
+    for _, u in rows:
+        label = 1 if "net/de/" in u else 0 if "org/es/" in u else None
+        if label is None or u in aside:
+            continue
+        for i, c in enumerate(u):
+            for k in range(url_filter.ORDER + 1):
+                before = ("^" * k + u[:i])[len("^" * k + u[:i]) - k :]
+                table[label][k, before, c] += 1
+                table[label][k, before] += 1
+
+    def score(u):
+        total = 0.0
+        for label, sign in ((1, 1), (0, -1)):
+            for i, c in enumerate(u):
+                p = 1 / 256
+                for k in range(url_filter.ORDER + 1):
+                    before = ("^" * k + u[:i])[len("^" * k + u[:i]) - k :]
+                    p = (table[label][k, before, c] + url_filter.BACKOFF * p) / (table[label][k, before] + url_filter.BACKOFF)
+                total += sign * math.log(p)
+        return total / max(1, len(u))
+
+    by = dict(rows)
+    for x in got:
+        assert x["score"] == pytest.approx(score(by[x["page_id"]]), abs=0.02)
+    open_ = [x for x in got if x["page_id"] is not None and x["page_id"] >= 1000]
+    assert all((x["verdict"] == "allow") == (x["page_id"] % 2 == 1) for x in open_)
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_lm_edges(docs, none):
     rows = lm_scoring.scores(docs).collect()
     assert len(rows) == docs.count() and all(r["score"] < 0 for r in rows) and lm_scoring.scores(none).count() == 0
