@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, content_key, durable
 
-#: Weights by the sources' order, repeating; the most copies of a document; documents of a block.
-WEIGHTS, MOST, BLOCK, SEED = (5, 2, 1), 3, 256, 17
+#: Weights by the sources' order, repeating; the most copies of a document; documents of a block, and of those kept for a source's last block.
+WEIGHTS, MOST, BLOCK, RESERVE, SEED = (5, 2, 1), 3, 256, 128, 17
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     Each row is copied floor(f) times, f its source's target over its size, and once more as
     pivotal rounding decides: a source's rows are dealt into blocks of about BLOCK by hash, in each
     block all but one are decided, and those left open meet in blocks again, up to a source's last
-    block, which settles all. A source's taken words so differ from its target by about a short
+    block, which has about RESERVE rows besides that were kept for it, and settles all. A source's taken words so differ from its target by about a short
     row's words at most, unless it has but few or very uneven rows. Rows with null source are a source of their own, null
     and empty texts have size 0 and nothing taken; repeated rows are rounded each; further columns
     are ignored. With no words at all, targets are 0.
@@ -88,14 +88,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     rows = rows.withColumn("mass", F.greatest(F.col("f") - F.col("whole"), F.lit(0.0)) * F.col("size")).drop("f")
     idle = F.col("mass") <= 0
     done, live = [rows.filter(idle)], rows.filter(~idle)
+    n = durable(live.groupBy(F.col("source").alias("src")).count())
+    n, _ = bounded(n, 10_000)
+    spare = F.pmod(F.xxhash64("h", F.lit("spare")), "count") < F.lit(RESERVE)
+    live = live.join(n, F.col("source").eqNullSafe(F.col("src"))).withColumn("held", (F.col("count") > BLOCK) & spare).drop("src", "count")
     step = 0
     while live.limit(1).count():  # a source's open rows get fewer by a factor of BLOCK each time
-        n, _ = bounded(durable(live.groupBy(F.col("source").alias("src")).count()), 10_000)
+        n, _ = bounded(durable(live.groupBy(F.col("source").alias("src")).agg(F.count_if(~F.col("held")).alias("count"))), 10_000)
         dealt = live.join(n, F.col("source").eqNullSafe(F.col("src"))).withColumn("last", F.col("count") <= BLOCK)
-        dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("h", F.lit(step)), F.ceil(F.col("count") / BLOCK)))
-        out = durable(duel(dealt, ["source", "blk"], step))
+        dealt = dealt.withColumn("blk", F.when(F.col("last"), 0).otherwise(F.pmod(F.xxhash64("h", F.lit(step)), F.ceil(F.col("count") / BLOCK))))
+        out = durable(duel(dealt.filter("last or not held"), ["source", "blk"], step))
         done.append(out.filter("not open").drop("open"))
-        live = out.filter("open").drop("open")
+        waiting = dealt.filter("not last and held").drop("src", "count", "last", "blk")
+        live = durable(out.filter("open").drop("open").withColumn("held", F.lit(False)).unionByName(waiting))
         step += 1
     cols = ["doc_id", "size", "source_size", "target", "whole", "mass"]
     every = done[0].select(cols)
