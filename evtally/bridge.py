@@ -46,7 +46,7 @@ def topology(spark: SparkSession, sf_dir: str) -> Topology:
     """Four sources, two generations, nations under regions under one root; ten resources and 25 flows by nation."""
     region, nation = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation"))
     none = F.array().cast("array<string>")
-    root = spark.createDataFrame([("root",)], "label string").select(hexid(1000).alias("id"), "label", F.lit("fabric").alias("kind"), F.lit(None).cast("string").alias("parent"), none.alias("members"))
+    root = spark.range(0, 1, 1, 1).select(hexid(1000).alias("id"), F.lit("root").alias("label"), F.lit("fabric").alias("kind"), F.lit(None).cast("string").alias("parent"), none.alias("members"))
     scope = root.unionByName(region.select(hexid(F.col("r_regionkey") + 100).alias("id"), F.col("r_name").alias("label"), F.lit("pod").alias("kind"), hexid(1000).alias("parent"), none.alias("members")))
     scope = scope.unionByName(nation.select(hexid(F.col("n_nationkey")).alias("id"), F.col("n_name").alias("label"), F.lit("switch").alias("kind"), hexid(F.col("n_regionkey") + 100).alias("parent"), none.alias("members")))
     names = lambda n: [f.split()[0] for f in SCHEMAS[n].split(", ")]

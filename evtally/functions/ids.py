@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NIL = "0" * 32
+#: Tag of a cell's published identity (fixed value).
+CELL_TAG = "fel.accounting-identity/1"
 
 
 def frame(c: Column) -> Column:
@@ -39,15 +41,26 @@ def is_id(c: Column, digits: int = 32) -> Column:
 
 
 def accounting_identity(generation, scope, measure, category, basis, resource, flow, path, reservation) -> Column:
-    """The cell's identity; subjects that are null count as nil. The period is not part of it."""
-    subjects = [F.coalesce(x, F.lit(NIL)) for x in (resource, flow, path, reservation)]
-    return digest(F.lit("fel.accounting-identity/1"), generation, scope, measure, category, basis, *subjects)
-
-
-def content_digest(o=F.col) -> Column:
-    """Digest of an observation but its id, receive time and integrity; metadata in order."""
-    base = [F.lit("observation-content/1"), *map(o, ("origin", "source", "incarnation", "epoch", "sequence", "generation", "observed_at", "measure", "role", "category"))]
-    base += [F.coalesce(o(c), F.lit("-")) for c in ("resource", "flow", "path", "reservation")] + [o(c) for c in ("amount", "window_start", "window_end")]
-    meta = F.array_sort(F.coalesce(o("metadata"), F.array().cast("array<struct<key:string,value:string>>")))
-    pairs = F.aggregate(meta, F.lit(b""), lambda a, m: F.concat(a, frame(m["key"]), frame(m["value"])))
-    return F.sha2(F.concat(*[frame(x) for x in base], pairs), 256)
+    """The cell's identity; subjects that are null count as nil. The period is not part of it.
+
+    Fields are columns, or all of them names, which make one expression of text instead of a tree built call by call.
+    """
+    plain, subjects = (generation, scope, measure, category, basis), (resource, flow, path, reservation)
+    if not all(isinstance(x, str) for x in (*plain, *subjects)):
+        return digest(F.lit(CELL_TAG), *plain, *[F.coalesce(x, F.lit(NIL)) for x in subjects])
+    framed = lambda x: f"unhex(lpad(hex(octet_length({x})), 16, '0')), encode({x}, 'UTF-8')"
+    texts = [f"'{CELL_TAG}'", *plain, *(f"coalesce({x}, '{NIL}')" for x in subjects)]
+    return F.expr(f"sha2(concat({', '.join(map(framed, texts))}), 256)")
+
+
+def content_digest() -> Column:
+    """Digest of an observation but its id, receive time and integrity; metadata in order.
+
+    Fields are framed by their lengths, so no two contents give one text.
+    """
+    plain = ("origin", "source", "incarnation", "epoch", "sequence", "generation", "observed_at", "measure", "role", "category")
+    texts = [f"cast({c} as string)" for c in plain] + [f"coalesce({c}, '-')" for c in ("resource", "flow", "path", "reservation")]
+    texts += [f"cast({c} as string)" for c in ("amount", "window_start", "window_end")]
+    texts.append("to_json(sort_array(coalesce(metadata, cast(array() as array<struct<key:string,value:string>>))))")
+    framed = ", ".join(f"cast(length({x}) as string), ':', {x}" for x in texts)
+    return F.expr(f"sha2(cast(concat('observation-content/1', {framed}) as binary), 256)")

@@ -10,9 +10,10 @@ from ..policy import Policy
 from ..topology import Topology
 
 
-def bound(obs: DataFrame, binding: DataFrame) -> DataFrame:
+def bound(obs: DataFrame, binding: DataFrame, small: bool = False) -> DataFrame:
     """Rows with bound: a binding relates the resource and generation at the observed time, both ends included."""
     spans = binding.groupBy(F.col("resource").alias("b_res"), F.col("generation").alias("b_gen")).agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("spans"))
+    spans = F.broadcast(spans) if small else spans
     x = obs.join(spans, (F.col("resource") == F.col("b_res")) & (F.col("generation") == F.col("b_gen")), "left")
     held = F.exists("spans", lambda s: (s["valid_from"] <= F.col("observed_at")) & (s["valid_to"].isNull() | (F.col("observed_at") <= s["valid_to"])))
     return x.withColumn("bound", F.coalesce(held, F.lit(False))).drop("b_res", "b_gen", "spans")
@@ -20,23 +21,23 @@ def bound(obs: DataFrame, binding: DataFrame) -> DataFrame:
 
 def assessed(obs: DataFrame, t: Topology, policy: Policy, as_of: int) -> DataFrame:
     """Rows (with peak) and reason: null if admitted; adds authority, provenance and freshness."""
-    s = t.source.select(F.col("id").alias("s_id"), "authority", "provenance", "enabled")
-    i = t.incarnation.select(F.col("id").alias("i_id"), F.col("source").alias("i_source"), "boot_epoch", "started_at", "retired_at")
+    s = t.joined("source", F.col("id").alias("s_id"), "authority", "provenance", "enabled")
+    i = t.joined("incarnation", F.col("id").alias("i_id"), F.col("source").alias("i_source"), "boot_epoch", "started_at", "retired_at")
     x = obs.join(s, F.col("source") == F.col("s_id"), "left").join(i, F.col("incarnation") == F.col("i_id"), "left")
-    x = bound(x, t.binding).withColumn("freshness", freshness(F.col("observed_at"), F.col("received_at"), as_of, policy))
-    c = F.col
-    reason = F.when(c("s_id").isNull(), "attribution-failure").when(c("provenance") == "unsupported", "unsupported-provenance")
-    reason = reason.when(c("i_id").isNotNull() & (c("epoch") < c("peak")), "fenced-epoch").when(~c("enabled"), "unsupported-provenance")
+    x = bound(x, t.binding, t.small("binding")).withColumn("freshness", freshness(F.col("observed_at"), F.col("received_at"), as_of, policy))
+    rules = [("s_id IS NULL", "attribution-failure"), ("provenance = 'unsupported'", "unsupported-provenance")]
+    rules += [("i_id IS NOT NULL AND epoch < peak", "fenced-epoch"), ("NOT enabled", "unsupported-provenance")]
     if policy.require_incarnation_coverage:
-        reason = reason.when(c("i_id").isNull(), "retired-incarnation").when(c("i_source") != c("source"), "attribution-failure")
-        reason = reason.when(c("received_at") > c("retired_at"), "retired-incarnation").when(c("received_at") < c("started_at"), "clock-anomaly")
-    reason = reason.when(c("epoch") < c("boot_epoch"), "fenced-epoch")
+        rules += [("i_id IS NULL", "retired-incarnation"), ("i_source <> source", "attribution-failure")]
+        rules += [("received_at > retired_at", "retired-incarnation"), ("received_at < started_at", "clock-anomaly")]
+    rules.append(("epoch < boot_epoch", "fenced-epoch"))
     if policy.require_generation_binding:
-        reason = reason.when(c("resource").isNotNull() & ~c("bound"), "stale-generation")
-    reason = reason.when(c("freshness") == "anomaly", "clock-anomaly")
+        rules.append(("resource IS NOT NULL AND NOT bound", "stale-generation"))
+    rules.append(("freshness = 'anomaly'", "clock-anomaly"))
     if policy.reject_future:
-        reason = reason.when(c("freshness") == "future", "clock-anomaly")
+        rules.append(("freshness = 'future'", "clock-anomaly"))
     if policy.stale != "include-marked":
-        reason = reason.when(c("freshness") == "stale", "stale-evidence")
-    reason = reason.when(c("freshness") == "expired", "expired-evidence")
+        rules.append(("freshness = 'stale'", "stale-evidence"))
+    rules.append(("freshness = 'expired'", "expired-evidence"))
+    reason = F.expr("CASE " + " ".join(f"WHEN {when} THEN '{name}'" for when, name in rules) + " END")
     return x.withColumn("reason", reason).drop("s_id", "enabled", "i_id", "i_source", "boot_epoch", "started_at", "retired_at", "bound")

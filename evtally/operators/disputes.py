@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..policy import Policy
+from .attribution import identity
 
-KEY = ["generation", "scope", "measure", "category", "basis", "resource", "flow", "path", "reservation"]
+SUBJECTS = ["resource", "flow", "path", "reservation"]
+KEY = ["generation", "scope", "measure", "category", "basis", *SUBJECTS]
 
 
 def by_authority(votes: Column, tie_break: str) -> Column:
@@ -39,12 +43,14 @@ def by_authority(votes: Column, tie_break: str) -> Column:
 def resolve(entries: DataFrame, policy: Policy) -> DataFrame:
     """One row a (cell, window): agreed, amount (null if unresolved), the counted record, and who took part.
 
-    Groups are folded before they are shuffled; a cell's votes are distinct (amount, source).
+    A cell is its KEY here; its identity is computed once cells are folded. Groups are folded
+    before they are shuffled; a cell's votes are distinct (amount, source).
     """
+    at = [*KEY, "window_start", "window_end"]
     vote = F.struct("amount", "source", F.coalesce("authority", F.lit(0)).cast("decimal(20,0)").alias("rank"))
     # the lowest id of each amount first, then of the amount that wins
-    per = entries.groupBy("cell", "window_start", "window_end", "amount").agg(F.min_by(F.struct("id", "source", "provenance", F.col("freshness").alias("fresh"), *KEY), "id").alias("rep"), F.count("*").alias("k"), F.collect_set(vote).alias("votes"), F.collect_set("source").alias("srcs"), F.min("id").alias("low"))
-    g = per.groupBy("cell", "window_start", "window_end").agg(
+    per = entries.groupBy(*at, "amount").agg(F.min(F.struct("id", "source", "provenance", F.col("freshness").alias("fresh"))).alias("rep"), F.count("*").alias("k"), F.collect_set(vote).alias("votes"), F.collect_set("source").alias("srcs"))
+    g = per.groupBy(*at).agg(
         F.count("*").alias("amounts"), F.sum("k").alias("k"), F.collect_list(F.struct("amount", "rep")).alias("reps"), F.flatten(F.collect_list("votes")).alias("votes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources")
     )
     amount = F.when(F.col("amounts") == 1, F.get("reps", F.lit(0))["amount"])
@@ -52,27 +58,29 @@ def resolve(entries: DataFrame, policy: Policy) -> DataFrame:
         amount = F.when(F.col("amounts") > 1, F.raise_error(F.lit("ConflictingEvidence")).cast("decimal(20,0)")).otherwise(amount)
     elif policy.conflict == "prefer-higher-authority" or policy.tie_break != "reject":
         amount = amount.otherwise(by_authority(F.col("votes"), policy.tie_break))
-    g = g.withColumn("counted", amount).withColumn("agreed", F.col("amounts") == 1)
     rep = F.get(F.filter("reps", lambda r: r["amount"] == F.col("counted")), F.lit(0))["rep"]
-    return g.withColumn("rep", rep).drop("reps", "votes")
+    return g.select(*at, "amounts", "k", "reps", "sources", amount.alias("counted"), (F.col("amounts") == 1).alias("agreed")).select(*at, "amounts", "k", "sources", "counted", "agreed", rep.alias("rep"))
 
 
 def contributions(resolved: DataFrame) -> DataFrame:
     """The records that count, one a (cell, window)."""
     stale = F.col("agreed") & (F.col("rep.fresh") == "stale")
-    return resolved.filter("counted is not null").select("cell", *[F.col(f"rep.{k}").alias(k) for k in KEY], "window_start", "window_end", F.col("counted").alias("amount"), F.col("rep.id").alias("id"), F.col("rep.source").alias("source"), F.col("rep.provenance").alias("provenance"), stale.alias("stale"))
+    own = [F.col("counted").alias("amount"), F.col("rep.id").alias("id"), F.col("rep.source").alias("source"), F.col("rep.provenance").alias("provenance"), stale.alias("stale")]
+    return resolved.filter("counted is not null").select(identity().alias("cell"), *KEY, "window_start", "window_end", *own)
 
 
 def dispute_rejects(entries: DataFrame, resolved: DataFrame) -> DataFrame:
     """Records that an agreed group already counts, and all of an unresolved one."""
-    r = resolved.select(F.col("cell").alias("c"), F.col("window_start").alias("a"), F.col("window_end").alias("b"), "agreed", "counted", F.col("rep.id").alias("rep_id"), "k").filter("k > 1")
-    x = entries.join(r, (F.col("cell") == F.col("c")) & (F.col("window_start") == F.col("a")) & (F.col("window_end") == F.col("b")))
+    at = [*KEY, "window_start", "window_end"]
+    r = resolved.filter("k > 1").select(*[F.col(c).alias(f"r_{c}") for c in at], "agreed", "counted", F.col("rep.id").alias("rep_id"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) if c in SUBJECTS else F.col(c) == F.col(f"r_{c}") for c in at])
     reason = F.when(F.col("agreed") & (F.col("id") != F.col("rep_id")), "duplicate-suppressed").when(~F.col("agreed") & F.col("counted").isNull(), "conflicting-evidence")
-    return x.withColumn("reason", reason).filter("reason is not null").select("id", "source", "generation", "measure", "reason", F.lit("cell and window").alias("detail"))
+    x = entries.join(r, same).select("id", "source", "generation", "measure", reason.alias("reason"), F.lit("cell and window").alias("detail"))
+    return x.filter("reason is not null")
 
 
 def conflicts(resolved: DataFrame) -> DataFrame:
-    return resolved.filter("not agreed").select("cell", "window_start", "window_end", F.col("amounts").alias("distinct_amounts"), "sources", F.col("counted").isNotNull().alias("resolved"))
+    return resolved.filter("not agreed").select(identity().alias("cell"), "window_start", "window_end", F.col("amounts").alias("distinct_amounts"), "sources", F.col("counted").isNotNull().alias("resolved"))
 
 
 def totals(rows: DataFrame) -> DataFrame:

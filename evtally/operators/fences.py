@@ -15,10 +15,10 @@ def collisions(obs: DataFrame) -> DataFrame:
 
 def grouped(obs: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows with name: null, duplicate (equal content, not the lowest id) or divergent (any difference)."""
-    w = Window.partitionBy(*keys)
-    divergent = F.min("content").over(w) != F.max("content").over(w)
-    lowest = F.row_number().over(w.orderBy("id")) == 1
-    return obs.withColumn(name, F.when(divergent, "divergent").when(~lowest, "duplicate"))
+    w = Window.partitionBy(*keys).orderBy("id")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one sort and one pass for all three
+    divergent = F.min("content").over(every) != F.max("content").over(every)
+    return obs.withColumn(name, F.when(divergent, "divergent").when(F.row_number().over(w) > 1, "duplicate"))
 
 
 def peaks(obs: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def peaks(obs: DataFrame) -> DataFrame:
 
 def fenced(obs: DataFrame) -> DataFrame:
     """All candidates with the three fences' findings and their incarnation's peak epoch."""
-    x = obs.withColumn("content", ids.content_digest())
-    x = grouped(collisions(x), ["origin"], "origin_fence")
+    x = collisions(obs).withColumn("content", ids.content_digest())  # after the first shuffle, in all its tasks
+    x = grouped(x, ["origin"], "origin_fence")
     x = grouped(x, ["source", "incarnation", "sequence"], "sequence_fence")
     return x.join(peaks(obs), F.col("incarnation") == F.col("pk_incarnation"), "left").drop("pk_incarnation")
 

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
 from ..policy import Policy
+from ..topology import local
+from .attribution import identity
 from .disputes import KEY
 
 EVIDENCE_CAP = 20_000
 
 
-def claims(contrib: DataFrame) -> DataFrame:
-    """One row a cell: exact total, contributions, the first EVIDENCE_CAP records in order, sources, provenance, stale."""
-    ev = F.slice(F.array_sort(F.collect_list(F.struct("window_start", "window_end", "id"))), 1, EVIDENCE_CAP)
-    return contrib.groupBy("cell", *KEY).agg(
-        m.checked(F.sum("amount")).alias("known_total"), F.count("*").alias("known_contributions"), ev["id"].alias("evidence"), F.array_sort(F.collect_set("source")).alias("sources"),
+def cells(contrib: DataFrame) -> DataFrame:
+    """One row a cell: exact total, contributions, sources, provenance, stale. Partial sums, no lists of records."""
+    g = contrib.groupBy(*KEY).agg(
+        m.checked(F.sum("amount")).alias("known_total"), F.count("*").alias("known_contributions"), F.array_sort(F.collect_set("source")).alias("sources"),
         F.array_sort(F.collect_set("provenance")).alias("provenance"), F.bool_or("stale").alias("stale_included"),
     )
+    return g.withColumn("cell", identity())
+
+
+def evidence(contrib: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
+    """(cell, evidence): the ids of the first records of each cell in order of window and id, at most cap.
+
+    Records beyond the cap leave before the shuffle, by a partial rank, so no task gathers all of a hot cell.
+    """
+    w = Window.partitionBy("cell").orderBy("window_start", "window_end", "id")
+    x = contrib.select("cell", "window_start", "window_end", "id").withColumn("at", F.row_number().over(w)).filter(F.col("at") <= cap)
+    return x.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", "id")))["id"].alias("evidence"))
+
+
+def claims(contrib: DataFrame) -> DataFrame:
+    """The cells with their evidence."""
+    return cells(contrib).join(evidence(contrib), "cell", "left")
 
 
 def unknowns(rejected: DataFrame, disputed: DataFrame) -> DataFrame:
@@ -49,7 +66,7 @@ def efficiency(claim: DataFrame, domains: DataFrame) -> DataFrame:
     part = lambda n: F.coalesce(F.sum(F.when(use == n, F.col("known_total"))), F.lit(0)).cast("decimal(20,0)").alias(n.replace("-", "_"))
     c = claim.groupBy("measure").agg(*[part(n) for n in ("useful", "necessary-overhead", "avoidable", "failed")], F.count_if(use == "unknown").alias("unclassified"))
     d = domains.groupBy("measure").agg(F.sum("unknown_contributions").alias("unmeasured"), F.count_if(F.col("status").isin("residual", "excess")).alias("broken"), F.count_if(F.col("status") != "consistent").alias("open"))
-    kinds = claim.sparkSession.createDataFrame([(i, n) for i, n in enumerate(m.MEASURES)], "kind_ord int, measure string")
+    kinds = local(claim.sparkSession, list(enumerate(m.MEASURES)), "kind_ord int, measure string")
     x = kinds.join(c, "measure", "left").join(d, "measure", "left").na.fill(0)
     x = x.withColumn("denominator", m.checked(F.col("useful") + F.col("necessary_overhead") + F.col("avoidable") + F.col("failed")))
     x = x.withColumn("unknown_contributions", (F.col("unclassified") + F.col("unmeasured")).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..topology import Topology
+from ..topology import SMALL, Topology
 
 
 def shape_fault() -> Column:
@@ -23,17 +23,26 @@ def shape_fault() -> Column:
 
 
 def with_period(obs: DataFrame, periods: DataFrame) -> DataFrame:
-    """The period that contains each row's window (periods do not overlap, so at most one); null if none does."""
+    """The period that contains each row's window (periods do not overlap, so at most one); null if none does.
+
+    Periods are met by the stretch of time that a window starts in, as long as the longest period,
+    so a row is compared with the few periods of its stretch. They are broadcast up to SMALL of them.
+    """
     p = periods.select(F.col("id").alias("period"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("state").alias("p_state"))
-    inside = (F.col("window_start") >= F.col("p_start")) & (F.col("window_end") <= F.col("p_end"))
-    return obs.join(F.broadcast(p), inside, "left").drop("p_start", "p_end")  # at most 100,000 periods
+    n, longest = p.agg(F.count("*"), F.max(F.col("p_end") - F.col("p_start"))).head()
+    stretch = max(1, longest or 1)
+    at = lambda c: F.floor(F.col(c) / F.lit(stretch)).cast("long")
+    p = p.withColumn("stretch", F.explode(F.sequence(at("p_start"), at("p_end"))))
+    p = F.broadcast(p) if n <= SMALL else p
+    inside = (at("window_start") == F.col("stretch")) & (F.col("window_start") >= F.col("p_start")) & (F.col("window_end") <= F.col("p_end"))
+    return obs.join(p, inside, "left").drop("p_start", "p_end", "stretch")
 
 
 def gate(obs: DataFrame, t: Topology, periods: DataFrame, late: str = "requires-correction") -> DataFrame:
     """Rows with verdict: the first gate that refuses them, late-evidence, or accepted."""
-    s = t.source.select(F.col("id").alias("s_id"), F.col("provenance").alias("s_prov"))
-    i = t.incarnation.select(F.col("id").alias("i_id"), F.col("boot_epoch").alias("i_boot"), F.col("retired_at").alias("i_retired"))
-    g = t.generation.select(F.col("id").alias("g_id"))
+    s = t.joined("source", F.col("id").alias("s_id"), F.col("provenance").alias("s_prov"))
+    i = t.joined("incarnation", F.col("id").alias("i_id"), F.col("boot_epoch").alias("i_boot"), F.col("retired_at").alias("i_retired"))
+    g = t.joined("generation", F.col("id").alias("g_id"))
     x = obs.join(s, F.col("source") == F.col("s_id"), "left").join(i, F.col("incarnation") == F.col("i_id"), "left").join(g, F.col("generation") == F.col("g_id"), "left")
     x = with_period(x, periods)
     verdict = (

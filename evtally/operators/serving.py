@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
-from ..topology import closure
 
 ORDER = ("scope", "generation", "measure", "category", "basis", "resource", "flow", "path", "reservation")
 CSV_COLUMNS = ("scope", "generation", "measure", "category", "basis", "resource", "flow", "path", "reservation", "known_total", "known_contributions", "coverage", "stale_included", "has_conflict", "identity")
@@ -17,13 +16,13 @@ def _ranked(c: str):
     return m.ordinal(F.col(c), ranks[c]) if c in ranks else F.col(c).asc_nulls_first()
 
 
-def rows(claim: DataFrame, scope_table: DataFrame | None = None, conflict: DataFrame | None = None, *, category=None, measure=None, generation=None, scope=None, descendants=False, limit: int = 100_000) -> tuple[DataFrame, dict]:
+def rows(claim: DataFrame, up: DataFrame | None = None, conflict: DataFrame | None = None, *, category=None, measure=None, generation=None, scope=None, descendants=False, limit: int = 100_000) -> tuple[DataFrame, dict]:
     """Cells in report order with the filters applied, and how many of them the limit leaves."""
     x = claim
     for c, v in (("category", category), ("measure", measure), ("generation", generation)):
         x = x.filter(F.col(c) == v) if v is not None else x
     if scope is not None and descendants:
-        x = x.join(closure(scope_table).filter(F.col("anc") == scope).select(F.col("leaf").alias("scope")), "scope", "left_semi")
+        x = x.join(up.filter(F.col("anc") == scope).select(F.col("leaf").alias("scope")), "scope", "left_semi")
     elif scope is not None:
         x = x.filter(F.col("scope") == scope)
     clash = F.lit(False)
@@ -36,9 +35,8 @@ def rows(claim: DataFrame, scope_table: DataFrame | None = None, conflict: DataF
     return kept, {"truncated": n > limit, "total_available": n, "returned": min(n, limit)}
 
 
-def rollup(claim: DataFrame, scope_table: DataFrame) -> DataFrame:
-    """Totals of each scope and all scopes above it by (scope, generation, measure, category)."""
-    up = closure(scope_table)
+def rollup(claim: DataFrame, up: DataFrame) -> DataFrame:
+    """Totals of each scope and all scopes above it by (scope, generation, measure, category); up is the scopes' closure."""
     x = claim.join(up, claim["scope"] == up["leaf"]).select("anc", "generation", "measure", "category", "known_total", "known_contributions")
     g = x.groupBy(F.col("anc").alias("scope"), "generation", "measure", "category")
     return g.agg(m.checked(F.sum("known_total")).alias("known_total"), F.sum("known_contributions").alias("known_contributions")).withColumn("basis", F.lit("scope-declared"))

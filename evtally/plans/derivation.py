@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,41 +12,123 @@ from ..policy import Policy
 from ..topology import Topology
 
 
-@dataclass
+def members(obs: DataFrame, start: int, end: int) -> DataFrame:
+    return obs.filter((F.col("window_start") >= start) & (F.col("window_end") <= end))
+
+
 class Derivation:
-    contributions: DataFrame
-    rejected: DataFrame
-    conflicts: DataFrame
-    totals: DataFrame
-    unknowns: DataFrame
-    claims: DataFrame
-    conservation: DataFrame
-    efficiency: DataFrame
+    """Fences, admission, attribution, disputes and folds of the records of [start, end), as lazy plans.
 
+    A result is planned when it is first asked for, and only what it needs. What several branches of
+    one result read is kept (parts that do not fit or are lost are computed anew) until release(),
+    which also ends a with block.
+    """
 
-def members(obs: DataFrame, start: int, end: int) -> DataFrame:
-    return obs.filter((F.col("window_start") >= start) & (F.col("window_end") <= end))
+    def __init__(self, obs: DataFrame, t: Topology, policy: Policy, start: int, end: int, as_of: int):
+        self._obs, self._t, self._policy, self._span, self._as_of = obs, t, policy, (start, end), as_of
+        self._kept: list[DataFrame] = []
+
+    def __enter__(self) -> Derivation:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+    def release(self) -> None:
+        for x in self._kept:
+            x.unpersist()
+        self._kept.clear()
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return df
+
+    # one chain, for results that need no rejects
+    @cached_property
+    def _fenced(self) -> DataFrame:
+        return fences.fenced(members(self._obs, *self._span))
+
+    def _placed_of(self, fenced: DataFrame) -> tuple[DataFrame, DataFrame]:
+        judged = admission.assessed(fences.survivors(fenced), self._t, self._policy, self._as_of)
+        return judged, attribution.attributed(judged.filter("reason is null").drop("reason"), self._t)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return self._placed_of(self._fenced)[1]
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return disputes.resolve(self._entries(self.placed), self._policy)
+
+    @staticmethod
+    def _entries(placed: DataFrame) -> DataFrame:
+        return placed.filter("role = 'contribution' and not lost")
+
+    def _totals(self, placed: DataFrame) -> DataFrame:
+        home = F.when(F.col("lost"), F.lit("0" * 32)).otherwise(F.col("scope"))
+        return disputes.totals(placed.filter("role = 'total'").withColumn("scope", home))
+
+    @cached_property
+    def contributions(self) -> DataFrame:
+        return disputes.contributions(self.resolved)
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        return disputes.conflicts(self.resolved)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return folds.cells(self.contributions)
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return folds.claims(self.contributions)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return self._totals(self.placed)
+
+    # branches that meet again read what is kept
+    @cached_property
+    def _shared(self) -> tuple[DataFrame, DataFrame]:
+        """Rejects of fences and admission, and the placed records."""
+        fenced = self._keep(self._fenced)
+        judged, placed = self._placed_of(fenced)
+        cols = ["id", "source", "generation", "measure", "reason", "detail"]
+        refused = judged.filter("reason is not null").withColumn("detail", F.lit("admission")).select(cols)
+        return fences.fence_rejects(fenced).unionByName(refused), self._keep(placed)
+
+    @cached_property
+    def _settled(self) -> DataFrame:
+        return self._keep(disputes.resolve(self._entries(self._shared[1]), self._policy))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        early, placed = self._shared
+        lost = placed.filter("lost and role = 'contribution'").select("id", "source", "generation", "measure", F.lit("attribution-failure").alias("reason"), F.lit("subject is not declared").alias("detail"))
+        return early.unionByName(lost).unionByName(disputes.dispute_rejects(self._entries(placed), self._settled))
+
+    @cached_property
+    def _unknown(self) -> DataFrame:
+        return self._keep(folds.unknowns(self.rejected, self._totals(self._shared[1]).filter("amount is null")))
+
+    @cached_property
+    def conservation(self) -> DataFrame:
+        return folds.conservation(disputes.contributions(self._settled), self._unknown, self._totals(self._shared[1]), self._policy)
+
+    @cached_property
+    def unknowns(self) -> DataFrame:
+        late = self.conservation.filter("status in ('residual', 'excess')").select("scope", "generation", "measure", F.when(F.col("status") == "residual", "residual-unclassified").otherwise("over-attribution").alias("reason"), F.lit(1).cast("long").alias("evidence_count"))
+        return self._unknown.unionByName(late).distinct()
+
+    @cached_property
+    def efficiency(self) -> DataFrame:
+        return folds.efficiency(folds.cells(disputes.contributions(self._settled)), self.conservation)
 
 
 def derive(obs: DataFrame, t: Topology, policy: Policy, start: int, end: int, as_of: int) -> Derivation:
-    """Fences, admission, attribution, disputes and folds of the records of [start, end)."""
-    # these feed several results each; cached parts that do not fit or are lost are computed anew
-    fenced = fences.fenced(members(obs, start, end)).persist()
-    judged = admission.assessed(fences.survivors(fenced), t, policy, as_of)
-    cols = ["id", "source", "generation", "measure", "reason", "detail"]
-    refused = judged.filter("reason is not null").withColumn("detail", F.lit("admission")).select(cols)
-    placed = attribution.attributed(judged.filter("reason is null").drop("reason"), t).persist()
-    lost = placed.filter("lost and role = 'contribution'").select("id", "source", "generation", "measure", F.lit("attribution-failure").alias("reason"), F.lit("subject is not declared").alias("detail"))
-    entries = placed.filter("role = 'contribution' and not lost")
-    resolved = disputes.resolve(entries, policy).persist()
-    total = disputes.totals(placed.filter("role = 'total'").withColumn("scope", F.when(F.col("lost"), F.lit("0" * 32)).otherwise(F.col("scope"))))
-    rejected = fences.fence_rejects(fenced).unionByName(refused).unionByName(lost).unionByName(disputes.dispute_rejects(entries, resolved))
-    contrib = disputes.contributions(resolved)
-    unknown = folds.unknowns(rejected, total.filter("amount is null"))
-    claim = folds.claims(contrib)
-    domains = folds.conservation(contrib, unknown, total, policy)
-    late = domains.filter("status in ('residual', 'excess')").select("scope", "generation", "measure", F.when(F.col("status") == "residual", "residual-unclassified").otherwise("over-attribution").alias("reason"), F.lit(1).cast("long").alias("evidence_count"))
-    return Derivation(contrib, rejected, disputes.conflicts(resolved), total, unknown.unionByName(late).distinct(), claim, domains, folds.efficiency(claim, domains))
+    """What the records of [start, end) come to under a topology and a policy."""
+    return Derivation(obs, t, policy, start, end, as_of)
 
 
 def digest(claim: DataFrame, domains: DataFrame) -> DataFrame:

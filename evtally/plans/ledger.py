@@ -128,7 +128,7 @@ class Ledger:
 
     def query(self, pid: str, revision: int | None = None, **filters):
         filters.setdefault("limit", self.policy.max_result_rows)
-        return serving.rows(self.result(pid, "claims", revision), self.topology.scope, self.result(pid, "conflicts", revision), **filters)
+        return serving.rows(self.result(pid, "claims", revision), self.topology.ancestry(), self.result(pid, "conflicts", revision), **filters)
 
     def aggregate(self, pid: str, axis: str, width: int = 0, parity: bool = True) -> DataFrame:
         p = self._period(pid)
@@ -138,7 +138,7 @@ class Ledger:
         return (serving.aggregate if parity else serving.aggregate_axis)(contrib, axis, p["start"], width)
 
     def rollup(self, pid: str) -> DataFrame:
-        return serving.rollup(self.result(pid, "claims"), self.topology.scope)
+        return serving.rollup(self.result(pid, "claims"), self.topology.ancestry())
 
     def reconcile(self, pid: str, scope: str | None = None) -> DataFrame:
         return serving.reconcile(self.result(pid, "conservation"), scope)

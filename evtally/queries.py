@@ -128,7 +128,7 @@ def dispute_resolution_authority(spark, d):
 
 @query("SELECT generation, scope, measure, category, basis, resource, flow, cast(known_total AS bigint) AS known_total, cast(n AS bigint) AS known_contributions FROM claims")
 def claims(spark, d):
-    return derived(spark, d).claims.select("generation", "scope", "measure", "category", "basis", "resource", "flow", whole("known_total"), "known_contributions")
+    return derived(spark, d).cells.select("generation", "scope", "measure", "category", "basis", "resource", "flow", whole("known_total"), "known_contributions")
 
 
 _FR = "unhex(lpad(to_hex(strlen({0})), 16, '0')) || encode({0})"
@@ -137,7 +137,7 @@ _ID = "sha256(" + " || ".join(_FR.format(x) for x in ("'fel.accounting-identity/
 
 @query(f"SELECT {_ID} AS identity, category FROM claims")
 def accounting_identity(spark, d):
-    return derived(spark, d).claims.select(F.col("cell").alias("identity"), "category")
+    return derived(spark, d).cells.select(F.col("cell").alias("identity"), "category")
 
 
 @query("SELECT scope, generation, cast(attributed AS bigint) AS attributed_total, cast(observed AS bigint) AS observed_total, cast(contributions AS bigint) AS contribution_count, cast(unknown AS bigint) AS unknown_contributions, status, cast(attributed - observed AS bigint) AS delta FROM status")
@@ -177,18 +177,18 @@ def unknown_bucket(spark, d):
 
 @query("SELECT anc AS scope, generation, category, cast(sum(known_total) AS bigint) AS known_total, cast(sum(n) AS bigint) AS known_contributions FROM claims JOIN up ON scope = leaf GROUP BY ALL")
 def scope_rollup(spark, d):
-    return serving.rollup(derived(spark, d).claims, bridge.topology(spark, d).scope).select("scope", "generation", "category", whole("known_total"), "known_contributions")
+    return serving.rollup(derived(spark, d).cells, bridge.topology(spark, d).ancestry()).select("scope", "generation", "category", whole("known_total"), "known_contributions")
 
 
 @query(f"SELECT scope, category, cast(sum(known_total) AS bigint) AS known_total FROM claims WHERE scope IN (SELECT leaf FROM up WHERE anc = '{bridge.py_hexid(101)}') GROUP BY ALL")
 def descendant_query(spark, d):
-    rows, _ = serving.rows(derived(spark, d).claims, bridge.topology(spark, d).scope, scope=bridge.py_hexid(101), descendants=True)
+    rows, _ = serving.rows(derived(spark, d).cells, bridge.topology(spark, d).ancestry(), scope=bridge.py_hexid(101), descendants=True)
     return rows.groupBy("scope", "category").agg(F.sum("known_total").cast("long").alias("known_total"))
 
 
 @query("SELECT leaf, anc FROM up")
 def scope_closure(spark, d):
-    return closure(bridge.topology(spark, d).scope).select("leaf", "anc")
+    return bridge.topology(spark, d).ancestry().select("leaf", "anc")
 
 
 def _axis(axis: str) -> None:
@@ -224,13 +224,13 @@ def explain_steps(spark, d):
 
 @query("SELECT scope, category, coalesce(resource, '-') AS resource, cast(known_total AS varchar) AS known_total, 'known' AS coverage FROM claims")
 def export_rows(spark, d):
-    rows, _ = serving.rows(derived(spark, d).claims, limit=10**9)
+    rows, _ = serving.rows(derived(spark, d).cells, limit=10**9)
     return serving.export_columns(rows).select("scope", "category", "resource", "known_total", "coverage")
 
 
 @query(f"SELECT scope, generation, category, resource, flow, cast(known_total AS bigint) AS known_total FROM claims ORDER BY scope, generation, list_position({list(measures.CATEGORIES)}, category), list_position({list(measures.BASES)}, basis), resource NULLS FIRST, flow NULLS FIRST LIMIT 50")
 def topk_rows(spark, d):
-    rows, _ = serving.rows(derived(spark, d).claims, limit=50)
+    rows, _ = serving.rows(derived(spark, d).cells, limit=50)
     return rows.select("scope", "generation", "category", "resource", "flow", whole("known_total"))
 
 

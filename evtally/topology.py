@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
-from decimal import Decimal
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,20 @@ SCHEMAS = {
 }
 
 
+#: Rows up to which a dimension, once counted, is broadcast, and the scope forest is closed on the driver.
+SMALL = 100_000
+
+
+def local(spark: SparkSession, rows: list[tuple] | list[dict], schema: str) -> DataFrame:
+    """Few rows as a frame that the JVM makes from one literal: no Python in the plan, no job to build it."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    given = [r if isinstance(r, dict) else dict(zip(names, r, strict=True)) for r in rows]
+    text = json.dumps([{k: v for k, v in r.items() if v is not None} for r in given], default=str)
+    fields_ = ",".join(f"`{n}`:{k}" for n, k in (f.split(" ", 1) for f in schema.split(", ")))
+    one = spark.range(0, 1, 1, 1)
+    return one.select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields_}>>", {"mode": "FAILFAST"})))
+
+
 @dataclass
 class Topology:
     source: DataFrame
@@ -33,28 +46,70 @@ class Topology:
     flow: DataFrame
     path: DataFrame
     reservation: DataFrame
+    sizes: dict = field(default_factory=dict, repr=False)
+    closed: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, spark: SparkSession, **rows) -> Topology:
         """From lists of dicts or frames; what is left out is empty."""
+        sizes = {n: len(rows.get(n, [])) for n in SCHEMAS if not isinstance(rows.get(n), DataFrame)}
+
         def frame(name):
             x = rows.get(name, [])
             if isinstance(x, DataFrame):
                 return x
-            kinds = [f.split() for f in SCHEMAS[name].split(", ")]
-            exact = lambda v, kind: Decimal(v) if kind.startswith("decimal") and v is not None else v
-            return spark.createDataFrame([tuple(exact(r.get(n), k) for n, k in kinds) for r in x], SCHEMAS[name])
+            names = [f.split()[0] for f in SCHEMAS[name].split(", ")]
+            return local(spark, [{n: r.get(n) for n in names} for r in x], SCHEMAS[name])
 
-        return cls(**{f.name: frame(f.name) for f in fields(cls)})
+        return cls(**{n: frame(n) for n in SCHEMAS}, sizes=sizes)
 
     @classmethod
     def parse(cls, spark: SparkSession, text: str) -> Topology:
-        """From a JSON document with one array a dimension; other keys are refused."""
+        """From a JSON document with one array a dimension; other keys, of the document or of a row, are refused."""
         j = json.loads(text)
         if extra := set(j) - set(SCHEMAS) - {"format_version"}:
             raise ValueError(f"UnknownField: {sorted(extra)}")
+        for name, rows in j.items():
+            if name in SCHEMAS:
+                known = {f.split()[0] for f in SCHEMAS[name].split(", ")}
+                if extra := {k for r in rows for k in r} - known:
+                    raise ValueError(f"UnknownField: {name} {sorted(extra)}")
         return cls.of(spark, **{k: v for k, v in j.items() if k in SCHEMAS})
 
+    def small(self, name: str) -> bool:
+        """Whether the dimension has at most SMALL rows; frames are counted once."""
+        if name not in self.sizes:
+            self.sizes[name] = getattr(self, name).limit(SMALL + 1).count()
+        return self.sizes[name] <= SMALL
+
+    def joined(self, name: str, *columns) -> DataFrame:
+        """The dimension's columns for a join with records: broadcast if it is small, else as it is."""
+        x = getattr(self, name).select(*columns)
+        return F.broadcast(x) if self.small(name) else x
+
+    def ancestry(self) -> DataFrame:
+        """closure() of the scopes, computed once; of a small forest on the driver."""
+        if self.closed is None:
+            if self.small("scope"):
+                up = {r["id"]: r["parent"] for r in self.scope.select("id", "parent").collect()}
+                self.closed = F.broadcast(local(self.scope.sparkSession, climbed(up), "leaf string, anc string, depth int"))
+            else:
+                self.closed = closure(self.scope)
+        return self.closed
+
+
+def climbed(up: dict[str, str | None]) -> list[tuple[str, str, int]]:
+    """(leaf, ancestor, depth) of a forest given by its parents; a cycle is an error, an undeclared parent ends the climb as the last ancestor."""
+    out = []
+    for leaf in up:
+        at, depth = leaf, 0
+        while at is not None:
+            if depth > len(up):
+                raise ValueError("InvalidTopology: scopes form a cycle")
+            out.append((leaf, at, depth))
+            at, depth = up.get(at), depth + 1
+    return out
+
 
 def closure(scope: DataFrame) -> DataFrame:
     """(leaf, anc, depth) of the scope forest, each scope its own ancestor at depth 0; a cycle is an error."""
