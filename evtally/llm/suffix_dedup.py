@@ -21,10 +21,9 @@ from .common import bounded, durable, released, sliced
 
 LENGTH = 400
 #: Parts of the length that strings have which key a window, from level to level.
-GRAMS = (0.16, 0.4, 0.7, 1.0)
-#: Most windows of a segment; bytes of a text keyed at once; bytes of distinct segments sorted at once;
-#: rows that a join may broadcast once counted.
-RUN, PIECE, CHUNK, SMALL = 4096, 1 << 18, 500_000, 100_000
+GRAMS = (0.16, 0.4, 0.7, 0.9, 1.0)
+#: Most windows of a segment; bytes of a text keyed at once; bytes of a key's distinct segments that one task sorts.
+RUN, PIECE, CHUNK = 4096, 1 << 18, 1_200_000
 _R = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -219,7 +218,7 @@ def _sorted_spans(parts: DataFrame, length: int) -> DataFrame:
         held, size, key = {}, 0, None
         for b in sliced(batches, ("part",)):
             for m, h1, h2, n, part in zip(*(b.column(c).to_pylist() for c in ("m", "h1", "h2", "n", "part")), strict=True):
-                if m != key and size >= CHUNK:
+                if m != key and size >= CHUNK // 4:  # so that a task holds little more than its largest key
                     yield solve(held)
                     held, size = {}, 0
                 key = m
@@ -257,7 +256,7 @@ def repeated(rows: DataFrame, length: int, level: int = 0) -> DataFrame:
         size = F.sum((F.shiftright("sn", 1).bitwiseAND(F.lit(8191))) + length - 1)
         big = durable(mixed.groupBy("m").agg(size.alias("size")).filter(F.col("size") > CHUNK).select("m", F.lit(True).alias("big")))
         crowded = big.limit(1).count() > 0
-        big, _ = bounded(big, SMALL)
+        big, _ = bounded(big, 100_000)
         mixed = mixed.join(big, "m", "left").withColumn("big", F.coalesce("big", F.lit(False)))
         parts = durable(_bytes(rows, mixed, length, level))
         found = _sorted_spans(parts.filter("not big"), length)
