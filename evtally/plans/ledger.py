@@ -84,14 +84,23 @@ class Ledger:
         as_of = as_of if as_of is not None else self.store.manifest()["watermark"]
         return derivation.derive(obs, self.topology, self.policy, p["start"], p["end"], as_of)
 
-    def _publish(self, pid: str, as_of: int, revision: int, parent: str | None, state: str) -> str:
-        d = self.derive(pid, as_of)
-        stamp = lambda df: df.withColumn("period", F.lit(pid)).withColumn("revision", F.lit(revision))
-        claim, domains = d.claims.cache(), d.conservation.cache()
-        own = derivation.digest(claim, domains).head()[0]
-        own = derive_text("revision", pid, str(revision), parent or "-", own) + own[32:]
-        head = self.spark.createDataFrame([(pid, revision, own, parent, as_of)], "period string, revision int, digest string, parent string, as_of long")
-        self.store.append(revisions=head, periods=self._mark(self._period(pid), state, revision), **{n: stamp({"claims": claim, "conservation": domains}.get(n, getattr(d, n))) for n in RESULTS})
+    def _publish(self, pid: str, as_of: int, revision: int, parent: str | None, state: str, corrected: int | None = None) -> str:
+        """A revision, its results, its period's state and, of a correction, its link, in one manifest."""
+        with self.derive(pid, as_of) as d:
+            stamp = lambda df: df.withColumn("period", F.lit(pid)).withColumn("revision", F.lit(revision))
+            claim, domains = d.claims.persist(), d.conservation.persist()
+            try:
+                own = derivation.digest(claim, domains).head()[0]
+                own = derive_text("revision", pid, str(revision), parent or "-", own) + own[32:]
+                head = self.spark.createDataFrame([(pid, revision, own, parent, as_of)], "period string, revision int, digest string, parent string, as_of long")
+                new = {"revisions": head, "periods": self._mark(self._period(pid), state, revision)}
+                new |= {n: stamp({"claims": claim, "conservation": domains}[n] if n in ("claims", "conservation") else getattr(d, n)) for n in RESULTS}
+                if corrected is not None:
+                    new["corrections"] = self.spark.createDataFrame([(pid, corrected, revision, own)], "period string, from_revision int, to_revision int, digest string")
+                self.store.commit(new)
+            finally:
+                claim.unpersist()
+                domains.unpersist()
         return own
 
     def close(self, pid: str, as_of: int, dry_run: bool = False):
@@ -109,10 +118,7 @@ class Ledger:
         if p["revision"] - 1 >= self.policy.max_corrections:
             raise ValueError("CorrectionLimitReached")
         parent = self.revisions(pid).orderBy(F.desc("revision")).head()["digest"]
-        own = self._publish(pid, as_of, p["revision"] + 1, parent, "superseded")
-        link = self.spark.createDataFrame([(pid, p["revision"], p["revision"] + 1, own)], "period string, from_revision int, to_revision int, digest string")
-        self.store.append(corrections=link)
-        return own
+        return self._publish(pid, as_of, p["revision"] + 1, parent, "superseded", corrected=p["revision"])
 
     # serving
     def revisions(self, pid: str) -> DataFrame:
@@ -132,7 +138,7 @@ class Ledger:
 
     def aggregate(self, pid: str, axis: str, width: int = 0, parity: bool = True) -> DataFrame:
         p = self._period(pid)
-        if p["state"] == "folded" and axis == "time":
+        if p["state"] == "folded" and axis in ("time", "source"):  # a folded cell keeps neither its windows nor each source's share
             raise ValueError("UnsupportedQuery")
         contrib = self.derive(pid).contributions if p["state"] != "folded" else self.result(pid, "claims").select("*", F.col("known_total").alias("amount"), F.element_at("sources", 1).alias("source"), F.lit(p["end"]).alias("window_end")).drop("provenance").withColumn("provenance", F.lit("real"))
         return (serving.aggregate if parity else serving.aggregate_axis)(contrib, axis, p["start"], width)
@@ -147,7 +153,8 @@ class Ledger:
         return serving.explain(self.result(pid, "claims"), self.result(pid, "rejected"), cell, self.policy.max_explanation_entries)
 
     def export(self, pid: str, path: str, form: str = "jsonl") -> None:
-        serving.export(self.query(pid)[0], path, form)
+        """All rows of the period; an export has no row limit."""
+        serving.export(self.query(pid, limit=2**31 - 1)[0], path, form)
 
     # integrity
     def verify(self) -> dict:
@@ -168,10 +175,9 @@ class Ledger:
         used = claim.join(shut, ["period", "revision"], "left_semi").select(F.explode("evidence").alias("id")).distinct()
         n = obs.join(used, "id", "left_semi").count()
         if n and not dry_run:
-            folded = [self._mark(p, "folded", p["revision"]) for p in self.periods().join(shut.select(F.col("period").alias("id")), "id", "left_semi").collect()]
-            self.store.replace(observations=obs.join(used, "id", "left_anti"))
-            for m in folded:
-                self.store.append(periods=m)
+            at = F.lit(self.store.manifest()["revision"] + 1).cast("long")
+            folded = self.periods().filter("state in ('closed', 'superseded')").withColumn("state", F.lit("folded")).withColumn("at", at)
+            self.store.commit({"periods": folded}, {"observations": obs.join(used, "id", "left_anti")})
         return n
 
     def stats(self) -> dict:
