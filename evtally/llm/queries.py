@@ -64,7 +64,7 @@ _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, row_number() OVER () AS br, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + 9], ' ') AS x
        FROM b, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS t(i) WHERE len(w) > 0),
 ks AS (SELECT DISTINCT k FROM bw),
@@ -72,10 +72,17 @@ dw AS (SELECT d.doc_id, d.r, i AS pos, ks.k, array_to_string(w[i:i + ks.k - 1],
        FROM d, ks, unnest(range(1, len(w) - ks.k + 2)) AS t(i) WHERE len(w) >= ks.k),
 m AS (SELECT dw.r, dw.pos, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.x = bw.x),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT r, pos, k FROM m)) GROUP BY r),
-g AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, cast(item_id AS varchar) AS i FROM m) GROUP BY r)
+g AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, cast(item_id AS varchar) AS i FROM m) GROUP BY r),
+iw AS (SELECT item_id, br, len(w) + 20 AS span, len(list_distinct(w)) AS n, unnest(list_distinct(w)) AS x FROM b WHERE len(w) > 0),
+o AS (SELECT r, pos, item_id, br, span, n, x FROM (SELECT r, i AS pos, w[i] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(i)) JOIN iw USING (x)),
+full_ AS (SELECT r, br FROM o GROUP BY r, br HAVING count(DISTINCT x) = min(n)),
+fo AS (SELECT o.* FROM o JOIN full_ USING (r, br)),
+nr AS (SELECT DISTINCT r, i FROM (SELECT a.r, cast(a.item_id AS varchar) AS i FROM fo a JOIN fo z ON z.r = a.r AND z.br = a.br AND z.pos BETWEEN a.pos AND a.pos + a.span - 1 GROUP BY a.r, a.br, a.item_id, a.pos HAVING count(DISTINCT z.x) = min(a.n))),
+p AS (SELECT r, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS ids FROM nr GROUP BY r)
 SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, cast(coalesce(h.n_hit, 0) AS bigint) AS n_hit,
-       cast(coalesce(g.n_items, 0) AS bigint) AS n_items, sha256(coalesce(g.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN g ON d.r = g.r
+       cast(coalesce(g.n_items, 0) AS bigint) AS n_items, sha256(coalesce(g.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated,
+       cast(coalesce(p.n_near, 0) AS bigint) AS n_near, sha256(coalesce(p.ids, '')) AS near_sha256
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN g ON d.r = g.r LEFT JOIN p ON d.r = p.r
 """
 
 _TEMPLATES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in kv)) for kv in sorted(licenses.TEMPLATES.items()))
