@@ -49,7 +49,9 @@ def main(args: list[str] | None = None) -> int:
         show(rows)
         print(json.dumps(note))
     elif c == "aggregate":
-        show(ledger.aggregate(a.period, a.axis, a.width or 0))
+        rows, note = ledger.buckets(a.period, a.axis, a.width or 0, generation=a.generation, measure=a.measure, scope=a.scope, **({"limit": a.limit} if a.limit else {}))
+        show(rows)
+        print(json.dumps(note))
     elif c == "rollup":
         show(ledger.rollup(a.period))
     elif c == "reconcile":
@@ -61,11 +63,11 @@ def main(args: list[str] | None = None) -> int:
         show(r)
         ok = bool(r.limit(1).count())
     elif c == "export":
-        ledger.export(a.period, a.out, a.format)
+        print(ledger.export(a.period, a.out, a.format))
     elif c == "verify":
         v = ledger.verify()
         print(json.dumps(v))
-        ok = not (v["missing"] or v["damaged"] or v["breaks"])
+        ok = not (v["missing"] or v["damaged"] or v["breaks"] or v["forged"] or v["unmatched"])
     elif c == "stats":
         print(json.dumps(ledger.stats()))
     elif c == "compact":

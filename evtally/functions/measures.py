@@ -10,6 +10,8 @@ MEASURES = ("wire-bytes", "payload-bytes", "port-occupancy-nanos", "capacity-nan
 UNITS = ("octets", "octets", "nanoseconds", "nanoseconds", "messages", "frames")
 CATEGORIES = ("useful-delivered-work", "retransmission", "duplication", "reroute-overhead", "idle-reservation", "failed-transfer", "stranded-capacity", "control-overhead", "unknown-unattributed")
 BASES = ("resource-direct", "flow-direct", "path-direct", "reservation-direct", "scope-declared", "unattributed")
+ROLES = ("contribution", "total")
+PROVENANCES = ("real", "synthetic", "replay", "unsupported")
 USEFUL = {"useful-delivered-work": "useful", "control-overhead": "necessary-overhead", "failed-transfer": "failed", "unknown-unattributed": "unknown"}
 AXES = ("category", "scope", "generation", "source", "time", "provenance", "resource", "flow")
 U64 = 2**64 - 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import measures as m
 from ..topology import SMALL, Topology
 
 
@@ -13,8 +14,10 @@ def shape_fault() -> Column:
     meta = F.coalesce("metadata", F.array().cast("array<struct<key:string,value:string>>"))
     bad = F.exists(meta, lambda m: (m["key"] == "") | (F.octet_length(m["key"]) > 64) | (F.octet_length(m["value"]) > 512))
     zero = (F.col("observed_at") == 0) | (F.col("received_at") == 0) | (F.col("window_start") == 0) | (F.col("window_end") == 0)
+    named = [F.coalesce(F.col(c).isin(*names), F.lit(False)) for c, names in (("measure", m.MEASURES), ("category", m.CATEGORIES), ("role", m.ROLES))]
     return (
-        F.when(F.col("window_end") <= F.col("window_start"), "window")
+        F.when(~(named[0] & named[1] & named[2]), "unknown name")
+        .when(F.col("window_end") <= F.col("window_start"), "window")
         .when(zero, "time missing")
         .when((F.size(meta) > 32) | bad, "metadata")
         .when(F.size(meta) != F.size(F.array_distinct(meta)), "metadata repeated")

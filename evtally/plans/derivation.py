@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -131,9 +132,18 @@ def derive(obs: DataFrame, t: Topology, policy: Policy, start: int, end: int, as
     return Derivation(obs, t, policy, start, end, as_of)
 
 
-def digest(claim: DataFrame, domains: DataFrame) -> DataFrame:
-    """A content digest that does not depend on order or partitions: equal evidence, equal digest."""
-    row = lambda df: df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
+#: The digest of no results at all: that of an empty text.
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+def digests(claim: DataFrame, domains: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Content digests, one for each value of by, that depend on neither order nor partitions: equal evidence, equal digest."""
+    row = lambda df: df.select(*by, F.sha2(F.to_json(F.struct(*sorted(set(df.columns) - set(by)))), 256).alias("h"))
     fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    some = row(claim).unionByName(row(domains)).groupBy(F.substring("h", 1, 4).alias("p")).agg(fold("h").alias("g"))
-    return some.agg(fold(F.concat("p", "g")).alias("digest"))  # at most 65,536 parts meet
+    some = row(claim).unionByName(row(domains)).groupBy(*by, F.substring("h", 1, 4).alias("p")).agg(fold("h").alias("g"))
+    return some.groupBy(*by).agg(fold(F.concat("p", "g")).alias("own"))  # at most 65,536 parts meet
+
+
+def digest(claim: DataFrame, domains: DataFrame) -> DataFrame:
+    """The one digest of a derivation's results."""
+    return digests(claim, domains).select(F.col("own").alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import derive_text
+from ..functions.ids import derive, derive_text
 from ..operators import gates, serving
 from ..policy import Policy
 from ..sources.store import Store
@@ -143,6 +143,14 @@ class Ledger:
         contrib = self.derive(pid).contributions if p["state"] != "folded" else self.result(pid, "claims").select("*", F.col("known_total").alias("amount"), F.element_at("sources", 1).alias("source"), F.lit(p["end"]).alias("window_end")).drop("provenance").withColumn("provenance", F.lit("real"))
         return (serving.aggregate if parity else serving.aggregate_axis)(contrib, axis, p["start"], width)
 
+    def buckets(self, pid: str, axis: str, width: int = 0, **filters):
+        """Buckets with their cells, unknowns and proof surfaces, and a report of what a limit cuts; for a folded period use aggregate."""
+        p = self._period(pid)
+        if p["state"] == "folded":
+            raise ValueError("UnsupportedQuery")
+        d = self.derive(pid)
+        return serving.buckets(d.contributions, d.unknowns, axis, p["start"], width, **filters)
+
     def rollup(self, pid: str) -> DataFrame:
         return serving.rollup(self.result(pid, "claims"), self.topology.ancestry())
 
@@ -152,19 +160,34 @@ class Ledger:
     def explain(self, pid: str, cell: str) -> DataFrame:
         return serving.explain(self.result(pid, "claims"), self.result(pid, "rejected"), cell, self.policy.max_explanation_entries)
 
-    def export(self, pid: str, path: str, form: str = "jsonl") -> None:
-        """All rows of the period; an export has no row limit."""
-        serving.export(self.query(pid, limit=2**31 - 1)[0], path, form)
+    def export(self, pid: str, path: str, form: str = "jsonl", evidence: bool = False) -> str:
+        """All rows of the period in one file, and its digest; an export has no row limit."""
+        return serving.export(self.query(pid, limit=2**31 - 1)[0], path, form, evidence)
 
     # integrity
     def verify(self) -> dict:
-        """Files against the manifest, and each revision against the digest of the one before it."""
-        out = self.store.verify() | {"lineages": 0, "breaks": 0}
+        """Files against the manifest, revisions against the ones before, their digests and their corrections.
+
+        breaks: revisions out of line; forged: those whose digest is not that of the results in the
+        store; unmatched: corrections that lead to no revision, and later revisions without a correction.
+        """
+        out = self.store.verify() | {"lineages": 0, "breaks": 0, "forged": 0, "unmatched": 0}
         x = self.store.read("revisions")
-        if x is not None:
-            ok = chain(x).agg(F.count("*"), F.count_if(~F.col("ok"))).head()
-            out |= {"lineages": ok[0], "breaks": ok[1]}
-        return out
+        if x is None or out["missing"] or out["damaged"]:
+            return out
+        ok = chain(x).agg(F.count("*"), F.count_if(~F.col("ok"))).head()
+        claim, domains = self.store.read("claims"), self.store.read("conservation")
+        mine = derivation.digests(claim, domains, ("period", "revision")).select(F.col("period").alias("p"), F.col("revision").alias("r"), "own")
+        met = x.join(mine, (F.col("period") == F.col("p")) & (F.col("revision") == F.col("r")), "left")
+        own = F.coalesce("own", F.lit(derivation.EMPTY))  # a revision without any result
+        want = F.concat(derive(F.lit("revision"), F.col("period"), F.col("revision").cast("string"), F.coalesce("parent", F.lit("-")), own), own.substr(33, 32))
+        out |= {"lineages": ok[0], "breaks": ok[1], "forged": met.filter(F.col("digest") != want).count()}
+        link = self.store.read("corrections")
+        later = x.filter("revision > 1").select("period", "revision", F.col("digest").alias("of"))
+        if link is None:
+            return out | {"unmatched": later.count()}
+        same = (link["period"] == later["period"]) & (link["to_revision"] == later["revision"]) & (link["digest"] == later["of"]) & (link["from_revision"] + 1 == link["to_revision"])
+        return out | {"unmatched": link.join(later, same, "full").filter(link["period"].isNull() | later["period"].isNull()).count()}
 
     def compact(self, dry_run: bool = False) -> int:
         """Drop retained evidence that the latest claims of closed periods already count."""

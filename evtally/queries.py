@@ -222,10 +222,42 @@ def explain_steps(spark, d):
     return serving.explain(x.claims, x.rejected, first or "")
 
 
-@query("SELECT scope, category, coalesce(resource, '-') AS resource, cast(known_total AS varchar) AS known_total, 'known' AS coverage FROM claims")
+_UNIT = "CASE measure WHEN 'wire-bytes' THEN 'octets' WHEN 'payload-bytes' THEN 'octets' WHEN 'control-messages' THEN 'messages' WHEN 'frame-count' THEN 'frames' ELSE 'nanoseconds' END"
+
+
+@query(f"""SELECT CASE WHEN scope = repeat('0', 32) THEN '-' ELSE scope END AS scope, generation, measure, {_UNIT} AS unit, category, replace({_USE}, 'necessary', 'necessary-overhead') AS usefulness, basis,
+ coalesce(nullif(resource, repeat('0', 32)), '-') AS resource, coalesce(nullif(flow, repeat('0', 32)), '-') AS flow, '-' AS path, '-' AS reservation, 'known' AS coverage,
+ cast(known_total AS varchar) AS known_total, cast(n AS varchar) AS known_contributions, '0' AS unknown_contributions FROM claims""")
 def export_rows(spark, d):
     rows, _ = serving.rows(derived(spark, d).cells, limit=10**9)
-    return serving.export_columns(rows).select("scope", "category", "resource", "known_total", "coverage")
+    return serving.export_columns(rows)
+
+
+_LOST = "SELECT scope, generation, measure, reason FROM unk UNION SELECT scope, generation, measure, CASE status WHEN 'residual' THEN 'residual-unclassified' ELSE 'over-attribution' END FROM status WHERE status IN ('residual', 'excess')"
+
+
+@query(f""", lost AS ({_LOST}), parts AS (SELECT category, scope, generation, source, coalesce(resource, repeat('0', 32)) AS resource, coalesce(CASE WHEN resource IS NULL THEN flow END, repeat('0', 32)) AS flow, provenance, amount AS a, 1 AS k, 0 AS u FROM contrib
+ UNION ALL SELECT 'unknown-unattributed', scope, generation, repeat('0', 32), repeat('0', 32), repeat('0', 32), 'real', 0, 0, 1 FROM lost)
+SELECT category, scope, generation, source, resource, flow, provenance, cast(sum(a) AS bigint) AS known_total, cast(sum(k) AS bigint) AS evidence_count, cast(sum(u) AS bigint) AS unknown_contributions,
+ CASE WHEN sum(u) = 0 THEN 'known' WHEN sum(k) = 0 THEN 'unknown' ELSE 'partial' END AS coverage, CASE WHEN sum(k) = 0 THEN 'NONE' ELSE upper(provenance) END AS proof_surfaces FROM parts WHERE generation = 'g1' GROUP BY category, scope, generation, source, resource, flow, provenance""")
+def aggregate_buckets(spark, d):
+    x = derived(spark, d)
+    rows, _ = serving.buckets(x.contributions, x.unknowns, "category", generation="g1", measure="wire-bytes")
+    rows = rows.withColumn("c", F.element_at("cells", 1))
+    return rows.select("category", "scope", "generation", "source", "resource", "flow", "provenance", F.col("c.known_total").cast("long").alias("known_total"), "evidence_count", "c.unknown_contributions", "c.coverage", "proof_surfaces")
+
+
+@query("""SELECT CASE WHEN amount % 13 = 0 THEN 'unknown name' WHEN amount % 11 = 0 THEN 'window' WHEN amount % 7 = 0 THEN 'time missing' WHEN amount % 5 = 0 THEN 'metadata repeated' WHEN amount % 3 = 0 AND category <> 'unknown-unattributed' THEN 'total with category' ELSE 'ok' END AS fault,
+ cast(count(*) AS bigint) AS n FROM obs GROUP BY 1""")
+def shape_faults(spark, d):
+    """The shape filter on rows with planted faults, several in one row, told by their amounts."""
+    per = lambda k: F.col("amount").cast("long") % k == 0
+    x = bridge.observations(spark, d).withColumns({
+        "measure": F.when(per(13), "no-such-measure").otherwise(F.col("measure")), "window_end": F.when(per(11), F.col("window_start")).otherwise(F.col("window_end")),
+        "observed_at": F.when(per(7), 0).otherwise(F.col("observed_at")), "role": F.when(per(3), "total").otherwise(F.col("role")),
+        "metadata": F.when(per(5), F.array_repeat(F.struct(F.lit("k").alias("key"), F.lit("v").alias("value")), 2)).otherwise(F.col("metadata")),
+    })
+    return x.groupBy(F.coalesce(gates.shape_fault(), F.lit("ok")).alias("fault")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT scope, generation, category, resource, flow, cast(known_total AS bigint) AS known_total FROM claims ORDER BY scope, generation, list_position({list(measures.CATEGORIES)}, category), list_position({list(measures.BASES)}, basis), resource NULLS FIRST, flow NULLS FIRST LIMIT 50")
