@@ -106,6 +106,31 @@ def test_suffix_dedup_crowded_keys(spark, monkeypatch, chunk):
         assert got[i]["n_removed"] == len(gone) and got[i]["n_spans"] == sum(p - 1 not in gone for p in gone)
 
 
+def test_suffix_dedup_common_passage_makes_few_rows(spark, monkeypatch):
+    """A passage in every text, crowded on all levels: its windows are all found, and no step makes a row of each."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 20_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 1000)
+    made, write = [], suffix_dedup.durable
+
+    def counted(df):
+        out = write(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "durable", counted)
+    r = random.Random(18)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = say(600)
+    texts = [say(250) + passage + say(250) for _ in range(200)]
+    got = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    seen = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    for x in got:
+        t = texts[x["doc_id"]]
+        gone = {p for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1 for p in range(k, k + 400)}
+        assert x["n_removed"] == len(gone) >= 600 and x["n_spans"] == 1
+    assert max(made) <= 20 * len(texts), made  # 1101 windows a text
+
+
 def test_suffix_dedup_long_text_and_empty_table(spark, none):
     r = random.Random(9)
     passage = "".join(r.choice("abcdef") for _ in range(1000))
