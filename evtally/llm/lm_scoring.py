@@ -1,7 +1,7 @@
 """LM scoring: a gated recurrent language model in numpy with a class-factored softmax.
 
-The vocabulary is all training words. Documents are clustered by their commonest words into
-topics, and each word belongs to the topic that has most of its occurrences. A topic's words fill
+The vocabulary is all training words. The commonest words are clustered into topics by the training
+documents they stand in, each document has a topic by the same words, and each word belongs to the topic that has most of its occurrences. A topic's words fill
 classes in order of their counts; what does not fit is the tail of the topic's last class, from
 which a word is drawn by its count. Words beyond the dictionary, and words never seen, are one
 symbol, from which a word is drawn by add-one counts.
@@ -10,7 +10,7 @@ symbol, from which a word is drawn by add-one counts.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import compress, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from .common import content_key, durable, released, remainder, sliced
 CLASSES, EACH, HIDDEN, STEPS, LANES, RATE = 32, 32, 12, 16, 1024, 0.04
 #: Symbols: class 0 has the end of a text and any word beyond the dictionary; slot 0 of each other class is its tail.
 SYMBOLS, END, OTHER = CLASSES * EACH, 0, 1
-#: Topics, words that tell a document's topic, documents from which topics are found (by hash of id and text), words of the dictionary.
-TOPICS, MARKS, SAMPLE, DICTIONARY = 8, 256, 2000, 131_072
+#: Topics, words that tell a document's topic, words of the dictionary, documents of one matrix of signatures.
+TOPICS, MARKS, DICTIONARY, SIGNED = 8, 256, 131_072, 4096
+#: Scale of signatures and centres, which are whole numbers: sums over documents do not depend on their order.
+SCALE = 4096
 #: Bytes of text, and symbols, in memory at once; words of a shard; words of the first weights' shard and passes over it; models summed by one task.
 BYTES, STREAM, SHARD, WARM, PASSES, FAN_IN = 8_000_000, 1_000_000, 4_000_000, 1_000_000, 2, 16
 _SHAPES = {"wx": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wo": (CLASSES, HIDDEN, EACH), "bo": (CLASSES, EACH)}
@@ -230,101 +232,141 @@ def likelihood(w: dict, flat: np.ndarray, sizes: np.ndarray, window: int = 32) -
     return out
 
 
-def words(text: str) -> list[bytes]:
+def words(text: bytes) -> list[bytes]:
     """A-Z lower-cased words between ASCII blanks."""
-    return text.encode().lower().split()
-
-
-class Topics:
-    """Centres of documents by their commonest words."""
-
-    def __init__(self, marks: list[bytes], seen: np.ndarray, many: int = TOPICS):
-        self.marks = marks
-        self.place = {w: i for i, w in enumerate(marks, 1)}
-        self.centres = np.zeros((1, len(marks)))
-        seen = np.unique(seen, axis=0) if len(seen) else seen
-        if not len(seen):
-            return
-        centres = [seen.mean(0)]
-        for _ in range(many - 1):  # the document least like all centres so far
-            like = np.max(seen @ self.unit(np.array(centres)).T, 1)
-            centres.append(seen[int(np.argmin(like))])
-        c = self.unit(np.array(centres))
-        for _ in range(12):
-            own = np.argmax(seen @ c.T, 1)
-            c = self.unit(np.array([seen[own == k].sum(0) if (own == k).any() else c[k] for k in range(len(c))]))
-        self.centres = c
-
-    @staticmethod
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def signature(self, ws: list[bytes]) -> np.ndarray:
-        """Of a document's words: the square roots of the marks' counts, of length one."""
-        seen = np.fromiter(map(self.place.get, ws, repeat(0)), np.int64, len(ws))
-        return self.unit(np.sqrt(np.bincount(seen, minlength=len(self.marks) + 1)[None, 1:]))[0]
-
-    def of(self, ws: list[bytes]) -> int:
-        return int(np.argmax(self.centres @ self.signature(ws)))
-
-
-def topics(learned: DataFrame, documents: int) -> Topics:
-    """Topics from about SAMPLE documents of smallest hash, each distinct one once; only signatures reach the driver."""
-    if not documents:
-        return Topics([], np.zeros((0, 0)))
-    share = min(1.0, SAMPLE / documents)
-    few = durable(learned.filter(F.col("h") < F.lit(int(share * 2.0**63) * 2 - 2**63 if share < 1 else 2**63 - 1)).dropDuplicates(["h"]).select("text"))
-
-    def counted(batches):
-        for b in sliced(batches, most=BYTES):
-            c: Counter[bytes] = Counter()
-            for t in b.column("text"):
-                c.update(words(t.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "n"])
+    return text.lower().split()
 
-    counts = few.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = Topics([bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(MARKS).collect()], np.zeros((0, 0)))
-    blob = learned.sparkSession.sparkContext.broadcast(found)
 
-    def signed(batches):
-        for b in sliced(batches, most=BYTES):
-            rows = [blob.value.signature(words(t.as_py())).astype(np.float32).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["s"])
+def utf8(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
+def signatures(flat: np.ndarray, sizes: np.ndarray, marks: int):
+    """For documents of places in flat, SIGNED at a time: the square roots of the marks' counts, of length SCALE, and the places."""
+    ends = np.cumsum(sizes)
+    for lo in range(0, len(sizes), SIGNED):
+        size = sizes[lo : lo + SIGNED]
+        own = flat[ends[lo] - sizes[lo] : ends[lo + len(size) - 1]]
+        owner = np.repeat(np.arange(len(size)), size)
+        mark = (own >= 0) & (own < marks)
+        x = np.sqrt(np.bincount(owner[mark] * marks + own[mark], minlength=len(size) * marks).reshape(len(size), marks))
+        yield np.rint(SCALE * unit(x)), owner, own
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def centres(together: np.ndarray, many: int = TOPICS) -> np.ndarray:
+    """Centres of topics from the marks' products over all documents: a mark's row is the mean signature of its documents."""
+    seen = unit(together[together.any(1)].astype(float)) if len(together) else together
+    seen = np.unique(seen, axis=0) if len(seen) else seen
+    if not len(seen):
+        return np.zeros((1, len(together)))
+    c = [seen.mean(0)]
+    for _ in range(many - 1):  # the mark least like all centres so far
+        c.append(seen[int(np.argmin(np.max(seen @ unit(np.array(c)).T, 1)))])
+    c = unit(np.array(c))
+    for _ in range(12):
+        own = np.argmax(seen @ c.T, 1)
+        c = unit(np.array([seen[own == k].sum(0) if (own == k).any() else c[k] for k in range(len(c))]))
+    return np.rint(SCALE * c)
+
 
-    seen = [np.frombuffer(r["s"], np.float32) for r in few.mapInArrow(signed, "s binary").collect()]
-    return Topics(found.marks, np.array(seen, float).reshape(len(seen), len(found.marks)))
+def _placed(batches):
+    """Places and sizes of the documents of a task's slices."""
+    for b in sliced(batches, ("places",), 4 * STREAM):
+        held = b.column("places").to_pylist()
+        yield np.frombuffer(b"".join(held), "<i4"), np.array([len(x) // 4 for x in held], np.int64)
 
 
-def word_counts(learned: DataFrame, found: Topics) -> DataFrame:
-    """(word, n, topic) over all texts: the count, and the topic with most of it; each batch is counted before it is shuffled."""
+def _summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of arrays of whole numbers, one a task, over a tree of tasks."""
+
+    def add(batches):
+        total = None
+        for b in sliced(batches, ("v",)):
+            for v in b.column("v").to_pylist():
+                v = np.frombuffer(v, "<i8")
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    parts = durable(parts)
+    while (k := parts.count()) > FAN_IN:
+        parts = durable(parts.repartition(-(-k // FAN_IN)).mapInArrow(add, "v binary"))
+    return sum((np.frombuffer(r["v"], "<i8") for r in parts.collect()), np.zeros(int(np.prod(shape)), np.int64)).reshape(shape)
+
+
+def topics(learned: DataFrame, marks: int) -> np.ndarray:
+    """Centres of topics from all rows (places): only the marks' products, a square matrix, reach the driver."""
+
+    def run(batches):
+        total = np.zeros((marks, marks))
+        for flat, sizes in _placed(batches):
+            for x, _, _ in signatures(flat, sizes, marks):
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["v"])
+
+    return centres(_summed(learned.mapInArrow(run, "v binary"), (marks, marks)))
+
+
+def word_topics(learned: DataFrame, found: np.ndarray, many: int) -> np.ndarray:
+    """The topic of each of many words that has most of its occurrences in all rows (places)."""
     blob = learned.sparkSession.sparkContext.broadcast(found)
 
+    def run(batches):
+        c = blob.value
+        total = np.zeros(len(c) * many, np.int64)
+        for flat, sizes in _placed(batches):
+            for x, owner, own in signatures(flat, sizes, c.shape[1]):
+                known = own >= 0
+                total += np.bincount(np.argmax(x @ c.T, 1)[owner[known]] * many + own[known], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["v"])
+
+    return np.argmax(_summed(learned.mapInArrow(run, "v binary"), (len(found), many)), 0)
+
+
+def word_counts(learned: DataFrame) -> DataFrame:
+    """(word, n) over all texts; each batch is counted before it is shuffled."""
+
     def run(batches):
         for b in sliced(batches, most=BYTES):
-            by: dict[int, Counter[bytes]] = {}
-            for t in b.column("text"):
-                ws = words(t.as_py())
-                by.setdefault(blob.value.of(ws), Counter()).update(ws)
-            for k, c in sorted(by.items()):
-                yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array([k] * len(c), pa.int32()), pa.array(c.values(), pa.int64())], ["word", "topic", "n"])
+            c: Counter[bytes] = Counter()
+            for t in utf8(b.column("text")):
+                c.update(words(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+
+    return learned.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    parts = learned.select("text").mapInArrow(run, "word binary, topic int, n long")
-    sums = [F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(TOPICS)]
-    total = parts.groupBy("word").agg(F.sum("n").alias("n"), *sums)
-    most = F.greatest(*[F.col(f"n{k}") for k in range(TOPICS)])
-    of = F.coalesce(*[F.when(F.col(f"n{k}") == most, F.lit(k)) for k in range(TOPICS)])
-    return total.select("word", "n", of.alias("topic"))
+
+class Dictionary:
+    """The commonest words' places and logarithms of their counts and one."""
+
+    def __init__(self, found: list[tuple[bytes, int]]):
+        self.index = {w: i for i, (w, _) in enumerate(found)}
+        self.logs = np.log10(np.append(np.array([n for _, n in found], float), 0) + 1)
+
+    def coded(self, texts: list[bytes]):
+        """Places of all words (-1: none), words of each text, and the words without a place by text."""
+        places, sizes, rare = [], [], []
+        get = self.index.get
+        for t in texts:
+            ws = words(t)
+            p = np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws))
+            places.append(p)
+            sizes.append(len(ws))
+            rare.append(Counter([ws[i] for i in np.flatnonzero(p < 0).tolist()]))
+        return np.concatenate([*places, np.zeros(0, np.int32)]), np.array(sizes, np.int64), rare
 
 
 class Vocabulary:
-    """The dictionary: the commonest words with their symbols, and how a symbol's word is drawn."""
+    """The dictionary's symbols by place, and how a symbol's word is drawn."""
 
     def __init__(self, found: list[tuple[bytes, int, int]], ends: int, others: int):
         """found: words, counts and topics, commonest first; ends and others: how often those two symbols stand."""
         n = np.array([c for _, c, _ in found], float)
         topic = np.array([t for _, _, t in found], int)
-        self.index = {w: i for i, (w, _, _) in enumerate(found)}
-        self.logs = np.log10(np.append(n, 0) + 1)
         self.symbol = np.full(len(found) + 1, OTHER, np.uint16)
         self.drawn = np.zeros(len(found) + 1)
         self.mass = np.zeros(SYMBOLS)
@@ -349,51 +391,42 @@ class Vocabulary:
         if len(found):
             self.mass += np.bincount(self.symbol[:-1], n, SYMBOLS)
 
-    def coded(self, texts: list[str]):
-        """Dictionary places of all words (-1: none), words of each text, and the words without a place by text."""
-        places, sizes, rare = [], [], []
-        get = self.index.get
-        for t in texts:
-            ws = words(t)
-            p = list(map(get, ws, repeat(-1)))
-            places.append(np.array(p, np.int32))
-            sizes.append(len(ws))
-            rare.append(Counter(compress(ws, map((-1).__eq__, p))) if -1 in p else {})
-        return np.concatenate([*places, np.zeros(0, np.int32)]), np.array(sizes, np.int64), rare
+    def symbols(self, places: np.ndarray) -> np.ndarray:
+        """Symbols of places, -1 any word without one and -2 the end."""
+        return np.append(self.symbol[:-1], np.array([END, OTHER], np.uint16))[places]
 
-    def symbols(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The texts' symbols, each text closed by the end."""
-        return np.insert(self.symbol[places], np.cumsum(sizes), END)
+    def logs_drawn(self, places: np.ndarray) -> np.ndarray:
+        return np.append(self.drawn[:-1], [0.0, 0.0])[places]
 
 
 def _listed(rare: list[dict[bytes, int]]) -> pa.ListArray:
     """Words and their counts, a list for each text."""
-    words_, counts = (pa.array([x for c in rare for x in part(c)], kind) for part, kind in ((dict.keys, pa.binary()), (dict.values, pa.int32())))
+    words_, counts = (pa.array(list(chain.from_iterable(map(part, rare))), kind) for part, kind in ((dict.keys, pa.binary()), (dict.values, pa.int32())))
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.StructArray.from_arrays([words_, counts], ["word", "k"]))
 
 
-def encoded(rows: DataFrame, vocabulary) -> DataFrame:
-    """Each row's symbols, and what its base and its drawn words add up to; texts are read once for all that follows."""
+def encoded(rows: DataFrame, dictionary) -> DataFrame:
+    """Each row's places, closed by -2, and what its base adds up to; texts are read once for all that follows."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        task, i, v = TaskContext.get().partitionId(), 0, vocabulary.value
+        task, i, v = TaskContext.get().partitionId(), 0, dictionary.value
         for b in sliced(batches, most=BYTES):
-            places, sizes, rare = v.coded(b.column("text").to_pylist())
+            places, sizes, rare = v.coded(utf8(b.column("text")))
             owner = np.repeat(np.arange(len(sizes)), sizes)
             by = lambda x, o=owner, k=len(sizes): np.bincount(o, x, k).astype(float)
-            flat, ends = v.symbols(places, sizes).astype("<u2"), np.cumsum(sizes + 1)
+            flat, ends = np.insert(places, np.cumsum(sizes), -2).astype("<i4"), np.cumsum(sizes + 1)
             uid = (task << 40) + i + np.arange(len(sizes))
             i += len(sizes)
             columns = {
                 "uid": pa.array(uid, pa.int64()), "doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "h": b.column("h"), "words": pa.array(sizes, pa.int64()),
-                "known": pa.array(by(places >= 0).astype(np.int64)), "logs": pa.array(by(v.logs[places])), "drawn_logs": pa.array(by(v.drawn[places])), "drawn": pa.array(by(places < 0)),
-                "symbols": pa.array([flat[e - k - 1 : e].tobytes() for k, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                "known": pa.array(by(places >= 0).astype(np.int64)), "logs": pa.array(by(v.logs[places])), "drawn": pa.array(by(places < 0)),
+                "places": pa.array([flat[e - k - 1 : e].tobytes() for k, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()),
                 "rare": _listed(rare),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    found = rows.select("doc_id", "text", "held_out", "h").mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, h long, words long, known long, logs double, drawn_logs double, drawn double, symbols binary, rare array<struct<word:binary,k:int>>")
+    found = rows.select("doc_id", "text", "held_out", "h").mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, h long, words long, known long, logs double, drawn double, places binary, rare array<struct<word:binary,k:int>>")
     return durable(found)
 
 
@@ -404,8 +437,8 @@ def _row(n: int, w: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
 
 
-def _learn(start: np.ndarray, memory: float, passes: int):
-    """For mapInArrow over rows (shard, symbols), by shard: from the start, one model a shard, times its symbols."""
+def _learn(start: np.ndarray, memory: float, passes: int, vocabulary: Vocabulary):
+    """For mapInArrow over rows (shard, places), by shard: from the start, one model a shard, times its symbols."""
 
     def run(batches):
         shard = held = None
@@ -414,14 +447,14 @@ def _learn(start: np.ndarray, memory: float, passes: int):
 
         def more():
             nonlocal w, size
-            stream = np.frombuffer(b"".join(held), "<u2")
+            stream = vocabulary.symbols(np.frombuffer(b"".join(held), "<i4"))
             for _ in range(passes):
                 w = train(w, stream, state)
             held.clear()
             size = 0
 
-        for b in sliced(batches, ("symbols",)):
-            for s, x in zip(b.column("shard").to_pylist(), b.column("symbols").to_pylist(), strict=True):
+        for b in sliced(batches, ("places",)):
+            for s, x in zip(b.column("shard").to_pylist(), b.column("places").to_pylist(), strict=True):
                 if s != shard:
                     if shard is not None:
                         more()
@@ -429,8 +462,8 @@ def _learn(start: np.ndarray, memory: float, passes: int):
                     shard, held, size, n = s, [], 0, 0
                     w, state = unpacked(start.copy()), {k: np.full(z, memory, np.float32) for k, z in _SHAPES.items()}
                 held.append(x)
-                size += len(x) // 2
-                n += len(x) // 2
+                size += len(x) // 4
+                n += len(x) // 4
                 if size >= STREAM:
                     more()
         if shard is not None:
@@ -450,8 +483,8 @@ def _total(batches):
         yield _row(n, w)
 
 
-def trained(rows: DataFrame, mass: np.ndarray, total: int) -> dict:
-    """Weights learned from all rows (h, symbols), which hold total symbols.
+def trained(rows: DataFrame, vocabulary, mass: np.ndarray, total: int) -> dict:
+    """Weights learned from all rows (h, places), which hold total symbols.
 
     The first shard, of the rows of smallest hash with about WARM words in all, gives the first weights.
     From them every shard of about SHARD words, dealt and ordered by hash, learns alone; the models are
@@ -464,14 +497,14 @@ def trained(rows: DataFrame, mass: np.ndarray, total: int) -> dict:
     share = min(1.0, WARM / total)
     few = rows.filter(F.col("h") < F.lit(int(share * 2.0**63) * 2 - 2**63 if share < 1 else 2**63 - 1)).withColumn("shard", F.lit(0))
     start = spark.sparkContext.broadcast(packed(w))
-    got = few.repartition(1).sortWithinPartitions("h").select("shard", "symbols").mapInArrow(lambda b: _learn(start.value, 1e-6, PASSES)(b), _MODEL).head()
+    got = few.repartition(1).sortWithinPartitions("h").select("shard", "places").mapInArrow(lambda b: _learn(start.value, 1e-6, PASSES, vocabulary.value)(b), _MODEL).head()
     if got is None:
         return w
     first = (np.frombuffer(got["w"], np.float32).astype(np.float64) / got["n"]).astype(np.float32)
     warm = spark.sparkContext.broadcast(first)
     shards = -(-total // SHARD)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).select("shard", "h", "symbols").repartition("shard").sortWithinPartitions("shard", "h")
-    models = durable(dealt.select("shard", "symbols").mapInArrow(lambda b: _learn(warm.value, 1e-4, 1)(b), _MODEL))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).select("shard", "h", "places").repartition("shard").sortWithinPartitions("shard", "h")
+    models = durable(dealt.select("shard", "places").mapInArrow(lambda b: _learn(warm.value, 1e-4, 1, vocabulary.value)(b), _MODEL))
     while (k := models.count()) > FAN_IN:
         models = durable(models.repartition(-(-k // FAN_IN)).mapInArrow(_total, _MODEL))
     got = sorted((r["n"], bytes(r["w"])) for r in models.collect())
@@ -491,34 +524,39 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (remainder(F.col("doc_id"), fold) == held).alias("held_out"), F.xxhash64("doc_id", content_key(F.col("text"))).alias("h"))
     learned = rows.filter("not held_out")
     ends = learned.count()
-    counts = durable(word_counts(learned, topics(learned, ends)))
+    counts = durable(word_counts(learned))
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
-    common = [(bytes(r["word"]), r["n"], r["topic"]) for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+    common = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
     n_all, v_all = total + ends, distinct + (ends > 0)
-    others = total - sum(n for _, n, _ in common)
+    others = total - sum(n for _, n in common)
     other = others + distinct - len(common) + 1  # add-one weight of the words beyond the dictionary and of an unseen one
-    vocabulary = Vocabulary(common, ends, others)
-    mass, blob = vocabulary.mass, spark.sparkContext.broadcast(vocabulary)
-    coded = encoded(rows, blob)
-    weights = spark.sparkContext.broadcast(trained(coded.filter("not held_out").select("h", "symbols"), mass, n_all))
-    own = spark.createDataFrame([(w,) for w, _, _ in common], "word binary")  # at most DICTIONARY rows
+    coded = encoded(rows, spark.sparkContext.broadcast(Dictionary(common)))
+    taught, topic = coded.filter("not held_out").select("h", "places"), np.zeros(0, int)
+    if common:
+        topic = word_topics(taught.select("places"), topics(taught.select("places"), min(MARKS, len(common))), len(common))
+    vocabulary = Vocabulary([(w, n, t) for (w, n), t in zip(common, topic.tolist(), strict=True)], ends, others)
+    blob = spark.sparkContext.broadcast(vocabulary)
+    weights = spark.sparkContext.broadcast(trained(taught, blob, vocabulary.mass, n_all))
+    own = spark.createDataFrame([(w,) for w, _ in common], "word binary")  # at most DICTIONARY rows
     rest = counts.join(F.broadcast(own), "word", "left_anti").select("word", "n")
 
     def run(batches):
-        for b in sliced(batches, ("symbols",), 4_000_000):
-            held = b.column("symbols").to_pylist()
-            sizes = np.array([len(x) // 2 for x in held], np.int64)
-            net = likelihood(weights.value, np.frombuffer(b"".join(held), "<u2"), sizes)
+        for b in sliced(batches, ("places",), 8_000_000):
+            held = b.column("places").to_pylist()
+            sizes = np.array([len(x) // 4 for x in held], np.int64)
+            flat = np.frombuffer(b"".join(held), "<i4")
+            net = likelihood(weights.value, blob.value.symbols(flat), sizes)
+            net += np.bincount(np.repeat(np.arange(len(sizes)), sizes), blob.value.logs_drawn(flat), len(sizes))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(net)], [*names, "net"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["uid", "doc_id", "held_out", "words", "known", "logs", "drawn_logs", "drawn"]
-    scored = coded.select(*names, "symbols").mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, words long, known long, logs double, drawn_logs double, drawn double, net double")
+    names = ["uid", "doc_id", "held_out", "words", "known", "logs", "drawn"]
+    scored = coded.select(*names, "places").mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, words long, known long, logs double, drawn double, net double")
     met = coded.select("uid", F.inline("rare")).join(rest, "word").withColumnRenamed("uid", "of")
     met = met.groupBy("of").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("k").alias("found"))
     out = scored.join(met, F.col("uid") == F.col("of"), "left")
     more = F.coalesce("more", F.lit(0.0))
     base = F.col("logs") + more + float(np.log10(ends + 1)) - (F.col("words") + 1) * float(np.log10(n_all + v_all + 1))
-    score = F.col("net") + F.col("drawn_logs") + more - F.col("drawn") * float(np.log10(other))
+    score = F.col("net") + more - F.col("drawn") * float(np.log10(other))
     known = F.col("known") + F.coalesce("found", F.lit(0)) + int(ends > 0)
     return out.select("doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

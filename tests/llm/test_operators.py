@@ -429,6 +429,28 @@ def test_lm_against_plain_counts_and_above_them(spark):
     assert all(again[r["doc_id"]] == pytest.approx(r["score"], abs=1e-3) for r in rows)  # neither files nor tasks matter
 
 
+def test_lm_topics_come_from_all_rows(spark):
+    """Six tongues, the sixth in the last twentieth of 5000 documents: none shares a topic with another, whatever the files."""
+    r = random.Random(15)
+    tongues = [[f"{x}{i}" for i in range(40)] for x in "pqrstu"]
+    of = [5 if i >= 4750 else i % 5 for i in range(5000)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(tongues[k], k=12))) for i, k in enumerate(of)], "doc_id long, text string")
+    found = sorted((w, int(n)) for w, n in collections.Counter(w for x in docs.collect() for w in x["text"].split()).items())
+    found = [(w.encode(), n) for w, n in sorted(found, key=lambda x: (-x[1], x[0]))]
+    rows = docs.selectExpr("doc_id", "text", "false as held_out", "doc_id as h")
+    got = []
+    for n in (3, 8):
+        places = lm_scoring.encoded(rows.repartition(n), spark.sparkContext.broadcast(lm_scoring.Dictionary(found))).select("places")
+        c = lm_scoring.topics(places, len(found))
+        got.append((c.tolist(), lm_scoring.word_topics(places, c, len(found)).tolist()))
+    assert got[0] == got[1]
+    topic = [{t for (w, _), t in zip(found, got[0][1], strict=True) if w[:1] == x} for x in (b"p", b"q", b"r", b"s", b"t", b"u")]
+    assert sum(map(len, topic)) == len(set.union(*topic)), topic
+    v = lm_scoring.Vocabulary([(w, n, t) for (w, n), t in zip(found, got[0][1], strict=True)], 5000, 0)
+    assert v.symbols(np.array([*range(240), -1, -2])).tolist() == [*v.symbol.tolist(), lm_scoring.END] and v.logs_drawn(np.array([3, -1, -2])).tolist() == [v.drawn[3], 0, 0]
+    assert {(x["word"].decode(), x["n"]) for x in lm_scoring.word_counts(docs).collect()} == {(w.decode(), n) for w, n in found}
+
+
 def test_lm_is_a_distribution():
     found = [(b"a", 5, 0), (b"b", 4, 1), (b"c", 2, 0)] + [(f"t{i}".encode(), 1, 1) for i in range(2000)]
     v = lm_scoring.Vocabulary(found, 7, 9)
