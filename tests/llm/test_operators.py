@@ -451,6 +451,20 @@ def test_lm_topics_come_from_all_rows(spark):
     assert {(x["word"].decode(), x["n"]) for x in lm_scoring.word_counts(docs).collect()} == {(w.decode(), n) for w, n in found}
 
 
+def test_lm_sums_reach_the_driver_as_one(spark, monkeypatch):
+    made, write = [], lm_scoring.durable
+
+    def counted(df):
+        out = write(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "durable", counted)
+    parts = spark.createDataFrame([(np.array([i, 1], "<i8").tobytes(),) for i in range(15)], "v binary").repartition(15)
+    assert lm_scoring._summed(parts, (1, 2)).tolist() == [[105, 15]] and made == [15, 1]
+    assert lm_scoring._summed(parts.limit(0), (1, 2)).tolist() == [[0, 0]]
+
+
 def test_lm_is_a_distribution():
     found = [(b"a", 5, 0), (b"b", 4, 1), (b"c", 2, 0)] + [(f"t{i}".encode(), 1, 1) for i in range(2000)]
     v = lm_scoring.Vocabulary(found, 7, 9)
