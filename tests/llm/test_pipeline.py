@@ -4,7 +4,7 @@ import collections
 import random
 
 import corpus_pipeline
-from evtally.llm import quality
+from evtally.llm import quality, suffix_dedup
 from evtally.llm.common import durable, table
 
 R = random.Random(11)
@@ -76,3 +76,23 @@ def test_one_row_of_each_component(spark, tmp_path):
     assert len(texts) == 1 and sorted(kept, key=str) == sorted([(1, one), (None, texts[0]), (3, three), (4, ""), (None, None), rows[-2], rows[-1]], key=str)
     passed = corpus_pipeline.passage_removal(spark, got, str(tmp_path)).collect()
     assert sorted(r["text"] for r in passed) == sorted(t or "" for _, t in kept)
+
+
+def test_passage_in_every_text(spark, tmp_path, monkeypatch):
+    """The suffix-array stage removes a passage that crowds all levels, and none of its steps makes a row of each window."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 15_000)
+    made, write = [], suffix_dedup.durable
+
+    def counted(df):
+        out = write(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "durable", counted)
+    r = random.Random(31)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = say(300)
+    rows = [(i, say(150) + passage + say(150)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.passage_removal(spark, docs, str(tmp_path)).collect()}
+    assert got == without(rows, corpus_pipeline.PASSAGE) and max(made) <= 20 * len(rows), made
