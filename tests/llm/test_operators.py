@@ -394,6 +394,38 @@ def test_url_models(spark, none):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_counts_are_apart():
+    """Each context, alone or with the byte after it, has a key of its own; marks of a url's start are no bytes."""
+    r = random.Random(12)
+    urls = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789./\x02") for _ in range(r.randrange(1, 60))) for _ in range(500)] + ["\x02a", "a"]
+    start, _, full, short = url_filter.grams([u.encode() for u in urls])
+    for k in range(url_filter.ORDER + 1):
+        pairs = [((None,) * k + tuple(u[:i]))[i:] + (c,) for u in urls for i, c in enumerate(u)]
+        assert len(set(full[k][~start].tolist())) == len(set(pairs)) == len(set(zip(full[k][~start].tolist(), pairs, strict=True)))
+        alone = [x[:-1] for x in pairs]
+        assert len(set(short[k][~start].tolist())) == len(set(alone)) == len(set(zip(short[k][~start].tolist(), alone, strict=True)))
+    assert len({x for keys in (*full, *short) for x in keys[~start].tolist()}) == sum(len(set(keys[~start].tolist())) for keys in (*full, *short))
+
+
+def test_url_counts_beyond_the_limit(spark, monkeypatch):
+    """Only the longest contexts share bins; no count is lost, and scores stay near those of counts kept apart."""
+    r = random.Random(13)
+    word = lambda s: "".join(r.choice(s) for _ in range(r.randrange(4, 12)))
+    rows = [(i, f"http://{word('abc')}.{'net/de/' + word('qrs') if i % 2 else 'org/es/' + word('xyz')}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    known = pages.select((F.col("page_id") % 2).cast("int").alias("label"), "url")
+    codes, counts, whole = url_filter.held_counts(known)
+    apart = {x["page_id"]: x["score"] for x in url_filter.judge(pages).collect()}
+    assert whole == url_filter.ORDER + 1 and counts.sum() == 2 * whole * sum(len(u) for _, u in rows)
+    monkeypatch.setattr(url_filter, "MOST", 500)
+    few, n, some = url_filter.held_counts(known)
+    assert 0 < some < whole and n.sum() == counts.sum()
+    low = lambda c: set(c[c < 4 * some * url_filter.SPAN].tolist())
+    assert 0 < len(low(few)) <= 500 and low(few) == low(codes)
+    got = {x["page_id"]: x["score"] for x in url_filter.judge(pages).collect()}
+    assert sum(abs(got[i] - apart[i]) < 0.02 for i in apart) >= 0.9 * len(apart)
+
+
 def test_lm_edges(docs, none):
     rows = lm_scoring.scores(docs).collect()
     assert len(rows) == docs.count() and all(r["score"] < 0 for r in rows) and lm_scoring.scores(none).count() == 0
