@@ -79,6 +79,7 @@ def buckets(contrib: DataFrame, unknown: DataFrame, axis: str, start: int = 0, w
     """Buckets of contributions and of what is unknown, in key order, and how many of them the limit leaves.
 
     A bucket has a cell for each measure (at most six), its kinds of unknowns, and its proof surfaces.
+    A cell counts each of its reasons once, however many unknowns, told apart by their evidence, give it.
     Unknowns stand in the bucket of their scope and generation under unknown-unattributed and no
     other subject. The filters apply to both before anything is grouped.
     """
@@ -96,7 +97,7 @@ def buckets(contrib: DataFrame, unknown: DataFrame, axis: str, start: int = 0, w
     lost = unknown.select(*[none.get(c, F.col(c)).alias(c) for c in key], "measure", F.lit(None).cast("decimal(20,0)").alias("a"), F.lit(0).alias("k"), "reason")
     g = known.unionByName(lost).groupBy(*key, "measure").agg(
         m.checked(F.coalesce(F.sum("a"), F.lit(0))).alias("known_total"), F.sum("k").cast("long").alias("known_contributions"),
-        F.count("reason").alias("unknown_contributions"), F.array_sort(F.collect_set("reason")).alias("reasons"),
+        F.size(F.collect_set("reason")).cast("long").alias("unknown_contributions"), F.array_sort(F.collect_set("reason")).alias("reasons"),
     )
     cell = F.struct(m.ordinal(F.col("measure"), m.MEASURES).alias("place"), "measure", "known_total", "known_contributions", "unknown_contributions", m.coverage(F.col("known_contributions"), F.col("unknown_contributions")).alias("coverage"), "reasons")
     out = g.groupBy(*key).agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("known_contributions").alias("claim_count"), F.sum("known_contributions").alias("evidence_count"))

@@ -73,6 +73,14 @@ def test_buckets(led):
         led.buckets(led.pid, "time")
 
 
+def test_buckets_count_a_reason_once(led, spark):
+    """Disputed totals of one domain that differ in their evidence count give one reason."""
+    lost = spark.createDataFrame([("s", G1, "wire-bytes", r, k) for r, k in (("a", 2), ("a", 3), ("b", 2))], "scope string, generation string, measure string, reason string, evidence_count long")
+    rows, _ = serving.buckets(led.derive(led.pid).contributions.limit(0), lost, "category")
+    (cell,) = rows.head()["cells"]
+    assert (cell["unknown_contributions"], cell["reasons"], cell["known_contributions"], cell["coverage"]) == (2, ["a", "b"], 0, "unknown")
+
+
 def test_orders(led):
     d = led.derive(led.pid)
     first = [r["category"] for r in serving.ordered("claims", d.claims.withColumn("scope", F.lit("x"))).collect()]
