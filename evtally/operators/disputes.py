@@ -40,6 +40,30 @@ def by_authority(votes: Column, tie_break: str) -> Column:
     return F.when(~best["stuck"] & (F.size(own) == 1), F.get(own, F.lit(0))["amount"])
 
 
+def plain(policy: Policy) -> bool:
+    """Whether a group counts only if all its amounts agree, so that no votes are needed."""
+    return policy.conflict == "record-and-unknown" and policy.tie_break == "reject"
+
+
+def spread() -> list[Column]:
+    """Aggregates that tell whether all amounts of a group agree."""
+    return [F.min("amount").alias("lo"), F.max("amount").alias("hi"), F.count("amount").alias("told"), F.count("*").alias("k")]
+
+
+def agreed() -> Column:
+    """Whether spread() found one amount in all records, or none in any."""
+    return F.when(F.col("told") == 0, True).otherwise((F.col("told") == F.col("k")) & (F.col("lo") == F.col("hi")))
+
+
+def settle(entries: DataFrame) -> DataFrame:
+    """resolve() under a plain policy, without who took part: one fold a (cell, window), and one shuffle."""
+    at = [*KEY, "window_start", "window_end"]
+    g = entries.groupBy(F.xxhash64(*at).alias("_hash"), *at).agg(  # the fold sorts, by the hash first
+        *spread(), F.min(F.struct("id", "source", "provenance", F.col("freshness").alias("fresh"))).alias("rep"),
+    )
+    return g.select(*at, "k", F.when(agreed(), F.col("lo")).alias("counted"), agreed().alias("agreed"), F.when(agreed() & (F.col("told") > 0), F.col("rep")).alias("rep"))
+
+
 def resolve(entries: DataFrame, policy: Policy) -> DataFrame:
     """One row a (cell, window): agreed, amount (null if unresolved), the counted record, and who took part.
 

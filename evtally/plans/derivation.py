@@ -61,6 +61,10 @@ class Derivation:
     def resolved(self) -> DataFrame:
         return disputes.resolve(self._entries(self.placed), self._policy)
 
+    @property
+    def _plain(self) -> bool:
+        return disputes.plain(self._policy)
+
     @staticmethod
     def _entries(placed: DataFrame) -> DataFrame:
         return placed.filter("role = 'contribution' and not lost")
@@ -71,7 +75,7 @@ class Derivation:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return disputes.contributions(self.resolved)
+        return disputes.contributions(disputes.settle(self._entries(self.placed)) if self._plain else self.resolved)
 
     @cached_property
     def conflicts(self) -> DataFrame:
