@@ -21,7 +21,6 @@ def by_authority(votes: Column, tie_break: str) -> Column:
     takes over; one of the same rank ends the fold under reject, and else wins by its id. A
     preferred source with two amounts decides nothing.
     """
-    votes = F.array_sort(votes)
     start = F.struct(F.lit(None).cast("string").alias("source"), F.lit(None).cast("decimal(20,0)").alias("rank"), F.lit(False).alias("stuck"))
 
     def step(a, v):
@@ -35,9 +34,12 @@ def by_authority(votes: Column, tie_break: str) -> Column:
         pick = lambda n: F.when(a["stuck"] | ~wins, a[n]).otherwise(v[n])
         return F.struct(pick("source").alias("source"), pick("rank").alias("rank"), F.coalesce(a["stuck"] | stuck, F.lit(False)).alias("stuck"))
 
-    best = F.aggregate(votes, start, step)
-    own = F.filter(votes, lambda v: v["source"] == best["source"])
-    return F.when(~best["stuck"] & (F.size(own) == 1), F.get(own, F.lit(0))["amount"])
+    def decided(best):
+        own = F.filter(votes, lambda v: v["source"] == best["source"])
+        return F.when(~best["stuck"] & (F.size(own) == 1), F.get(own, F.lit(0))["amount"])
+
+    # the fold is bound to a variable: inside the filter it would run again for each vote
+    return F.get(F.transform(F.array(F.aggregate(F.array_sort(votes), start, step)), decided), F.lit(0))
 
 
 def plain(policy: Policy) -> bool:
@@ -73,8 +75,9 @@ def resolve(entries: DataFrame, policy: Policy) -> DataFrame:
     at = [*KEY, "window_start", "window_end"]
     vote = F.struct("amount", "source", F.coalesce("authority", F.lit(0)).cast("decimal(20,0)").alias("rank"))
     # the lowest id of each amount first, then of the amount that wins
-    per = entries.groupBy(*at, "amount").agg(F.min(F.struct("id", "source", "provenance", F.col("freshness").alias("fresh"))).alias("rep"), F.count("*").alias("k"), F.collect_set(vote).alias("votes"), F.collect_set("source").alias("srcs"))
-    g = per.groupBy(*at).agg(
+    own = F.xxhash64(*at).alias("_hash")  # leads the keys of sorts
+    per = entries.groupBy(own, *at, "amount").agg(F.min(F.struct("id", "source", "provenance", F.col("freshness").alias("fresh"))).alias("rep"), F.count("*").alias("k"), F.collect_set(vote).alias("votes"), F.collect_set("source").alias("srcs"))
+    g = per.groupBy("_hash", *at).agg(
         F.count("*").alias("amounts"), F.sum("k").alias("k"), F.collect_list(F.struct("amount", "rep")).alias("reps"), F.flatten(F.collect_list("votes")).alias("votes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources")
     )
     amount = F.when(F.col("amounts") == 1, F.get("reps", F.lit(0))["amount"])
