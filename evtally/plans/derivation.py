@@ -105,7 +105,8 @@ class Derivation:
 
     @cached_property
     def _settled(self) -> DataFrame:
-        return self._keep(disputes.resolve(self._entries(self._shared[1]), self._policy))
+        entries = self._entries(self._shared[1])
+        return self._keep(disputes.settle(entries) if self._plain else disputes.resolve(entries, self._policy))
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -113,13 +114,45 @@ class Derivation:
         lost = placed.filter("lost and role = 'contribution'").select("id", "source", "generation", "measure", F.lit("attribution-failure").alias("reason"), F.lit("subject is not declared").alias("detail"))
         return early.unionByName(lost).unionByName(disputes.dispute_rejects(self._entries(placed), self._settled))
 
+    @cached_property
+    def _folded(self) -> DataFrame:
+        """All records folded in one pass, under a plain policy: rows by reason, or by cell and window, or totals by domain and window.
+
+        Hashes alone fold them, before they are shuffled, so conservation keeps neither records nor lists of them.
+        """
+        nothing = F.lit(None).cast("string")
+        judged = admission.assessed(self._fenced, self._t, self._policy, self._as_of)
+        x = attribution.attributed(judged, self._t)
+        own = F.when(F.col("reason").isNotNull(), F.array("reason")).when(F.col("lost") & (F.col("role") == "contribution"), F.array(F.lit("attribution-failure"))).when(F.col("role").isin("contribution", "total"), F.array(nothing))
+        why = F.when(fences.passed(), own).otherwise(F.transform(fences.findings(), lambda r: r["reason"]))
+        x = x.withColumn("reason", F.explode(why))
+        kept, entry, nil = F.col("reason").isNull(), F.col("reason").isNull() & (F.col("role") == "contribution"), F.lit("0" * 32)
+        columns = {c: F.when(entry, F.col(c)) for c in (*disputes.SUBJECTS, "category", "basis")} | {c: F.when(kept, F.col(c)) for c in ("role", "window_start", "window_end", "amount")}
+        columns["scope"] = F.when(kept, F.when(F.col("lost"), nil).otherwise(F.col("scope")))
+        x = x.select("reason", "generation", "measure", *[v.alias(c) for c, v in columns.items()])
+        return self._keep(x.groupBy(*[c for c in x.columns if c != "amount"]).agg(*disputes.spread()))
+
+    @cached_property
+    def _folds(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What conservation is made of: contributions' amounts, one for each kind of reject, and totals."""
+        if not self._plain:
+            return disputes.contributions(self._settled), self.rejected, self._totals(self._shared[1])
+        x, kind = self._folded, ["generation", "measure", "reason"]
+        entries = x.filter("reason is null and role = 'contribution'").withColumns({"agreed": disputes.agreed(), "amount": F.when(disputes.agreed(), F.col("lo"))})
+        again = F.when(F.col("agreed"), "duplicate-suppressed").when(F.col("amount").isNull(), "conflicting-evidence")
+        kinds = x.filter("reason is not null").select(kind).unionByName(entries.filter("k > 1").withColumn("reason", again).select(kind)).distinct()
+        totals = x.filter("reason is null and role = 'total'").withColumn("amount", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+        return entries.filter("amount is not null"), kinds, totals
+
     @cached_property
     def _unknown(self) -> DataFrame:
-        return self._keep(folds.unknowns(self.rejected, self._totals(self._shared[1]).filter("amount is null")))
+        _, kinds, totals = self._folds
+        return self._keep(folds.unknowns(kinds, totals.filter("amount is null")))
 
     @cached_property
     def conservation(self) -> DataFrame:
-        return folds.conservation(disputes.contributions(self._settled), self._unknown, self._totals(self._shared[1]), self._policy)
+        contrib, _, totals = self._folds
+        return folds.conservation(contrib, self._unknown, totals, self._policy)
 
     @cached_property
     def unknowns(self) -> DataFrame:

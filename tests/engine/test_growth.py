@@ -1,11 +1,12 @@
 """What lets a derivation grow with its input: what is shuffled, kept and folded, and that the results stay the same."""
 
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
-from evtally.operators import disputes, fences
+from evtally.operators import disputes, fences, folds
 from evtally.policy import Policy
 from evtally.sources.evidence import OBSERVATION
 
@@ -54,3 +55,13 @@ def test_authority_folds_once(spark, tie):
     x = x.select("i", disputes.by_authority(F.col("v"), tie).alias("won"))
     assert {r["i"]: r["won"] for r in x.collect()} == {i: wanted(g) for i, g in enumerate(groups)}
     assert x._jdf.queryExecution().analyzed().toString().count("aggregate(array_sort") == 1  # in the filter it ran again for each vote
+
+
+def test_conservation_keeps_folds_alone(spark, topo):  # noqa: F811
+    d = run(spark, topo, mixed())
+    kinds = folds.unknowns(d.rejected, d.totals.filter("amount is null"))
+    other = folds.conservation(disputes.contributions(d.resolved), kinds, d.totals, Policy())
+    e = run(spark, topo, mixed())
+    assert sorted(map(str, e.conservation.collect())) == sorted(map(str, other.collect()))
+    names = reduce(set.union, [set(x.columns) for x in e._kept])
+    assert not names & {"id", "observed_at", "id_clash"}  # neither records nor their rejects were kept
