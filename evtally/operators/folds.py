@@ -23,6 +23,11 @@ def cells(contrib: DataFrame) -> DataFrame:
     return g.withColumn("cell", identity())
 
 
+def known(contrib: DataFrame) -> DataFrame:
+    """The exact total of each cell, and nothing else of it."""
+    return contrib.groupBy(*KEY).agg(m.checked(F.sum("amount")).alias("known_total"))
+
+
 def evidence(contrib: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
     """(cell, evidence): the ids of the first records of each cell in order of window and id, at most cap.
 

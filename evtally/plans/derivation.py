@@ -161,7 +161,7 @@ class Derivation:
 
     @cached_property
     def efficiency(self) -> DataFrame:
-        return folds.efficiency(folds.cells(disputes.contributions(self._settled)), self.conservation)
+        return folds.efficiency(folds.known(self._folds[0]), self.conservation)
 
 
 def derive(obs: DataFrame, t: Topology, policy: Policy, start: int, end: int, as_of: int) -> Derivation:

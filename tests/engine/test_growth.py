@@ -63,5 +63,6 @@ def test_conservation_keeps_folds_alone(spark, topo):  # noqa: F811
     other = folds.conservation(disputes.contributions(d.resolved), kinds, d.totals, Policy())
     e = run(spark, topo, mixed())
     assert sorted(map(str, e.conservation.collect())) == sorted(map(str, other.collect()))
+    assert sorted(map(str, e.efficiency.collect())) == sorted(map(str, folds.efficiency(d.cells, other).collect()))
     names = reduce(set.union, [set(x.columns) for x in e._kept])
     assert not names & {"id", "observed_at", "id_clash"}  # neither records nor their rejects were kept
